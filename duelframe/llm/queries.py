@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelframe.llm import mixing
+from duelframe.llm import mixing, sentence_pieces, token_counts
 from duelframe.llm.common import table
 
 
@@ -13,7 +15,22 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+
+def op4_transducer_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = token_counts.token_counts(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+
+def op6_piece_transducer(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.encode_documents(docs, model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op6_piece_transducer": op6_piece_transducer,
+    "op4_transducer_token_counts": op4_transducer_token_counts,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import mixing, sentence_pieces, token_counts
+from duelframe.llm import media, mixing, sentence_pieces, token_counts
 from duelframe.llm.common import table
 
 
@@ -28,7 +28,16 @@ def op6_piece_transducer(spark: SparkSession, sf_dir: str, model: str | None = N
     return sentence_pieces.encode_documents(docs, model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+
+def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return media.document_media(docs).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 QUERIES = {
+    "op7_interleaved_media": op7_interleaved_media,
     "op6_piece_transducer": op6_piece_transducer,
     "op4_transducer_token_counts": op4_transducer_token_counts,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,

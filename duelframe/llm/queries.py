@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import media, mixing, sentence_pieces, token_counts
+from duelframe.llm import language, media, mixing, sentence_pieces, token_counts
 from duelframe.llm.common import table
 
 
@@ -36,7 +36,13 @@ def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def op3_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
+    "op3_family_svm_language": op3_family_svm_language,
     "op7_interleaved_media": op7_interleaved_media,
     "op6_piece_transducer": op6_piece_transducer,
     "op4_transducer_token_counts": op4_transducer_token_counts,

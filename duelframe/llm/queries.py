@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, sentence_pieces, token_counts
+from duelframe.llm import language, media, mixing, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -41,7 +41,13 @@ def op3_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+
+def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op8_noisy_or_toxicity": op8_noisy_or_toxicity,
     "op3_family_svm_language": op3_family_svm_language,
     "op7_interleaved_media": op7_interleaved_media,
     "op6_piece_transducer": op6_piece_transducer,

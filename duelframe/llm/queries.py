@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, sentence_pieces, token_counts, toxicity
+from duelframe.llm import language, media, mixing, neighbours, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -46,7 +46,14 @@ def op8_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+
+def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
+    "op10_cross_polytope_neighbours": op10_cross_polytope_neighbours,
     "op8_noisy_or_toxicity": op8_noisy_or_toxicity,
     "op3_family_svm_language": op3_family_svm_language,
     "op7_interleaved_media": op7_interleaved_media,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, neighbours, sentence_pieces, token_counts, toxicity
+from duelframe.llm import language, media, mixing, neighbours, quotes, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -52,7 +52,13 @@ def op10_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFram
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op2_quotation_linking": op2_quotation_linking,
     "op10_cross_polytope_neighbours": op10_cross_polytope_neighbours,
     "op8_noisy_or_toxicity": op8_noisy_or_toxicity,
     "op3_family_svm_language": op3_family_svm_language,
@@ -61,4 +67,6 @@ QUERIES = {
     "op4_transducer_token_counts": op4_transducer_token_counts,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quotation_linking": quotes.ORACLE_SQL,
+}

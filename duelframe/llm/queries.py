@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, neighbours, quotes, sentence_pieces, token_counts, toxicity
+from duelframe.llm import language, media, mixing, near_dedup, neighbours, quotes, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -57,7 +57,13 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+
+def op1_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES = {
+    "op1_setsketch_near_dedup": op1_setsketch_near_dedup,
     "op2_quotation_linking": op2_quotation_linking,
     "op10_cross_polytope_neighbours": op10_cross_polytope_neighbours,
     "op8_noisy_or_toxicity": op8_noisy_or_toxicity,
@@ -68,5 +74,6 @@ QUERIES = {
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
 }
 ORACLES: dict[str, str] = {
+    "op1_setsketch_near_dedup": near_dedup.ORACLE_SQL,
     "op2_quotation_linking": quotes.ORACLE_SQL,
 }

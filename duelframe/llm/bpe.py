@@ -47,7 +47,7 @@ class Merges:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             known = self._fits[key] = self.merge(left + right) == [left, right]
         return known

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: A word of the dealt operators: a run of characters outside space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-CACHE_LIMIT = 400_000
+#: Entries of a task's word caches, and rows that it turns into Python objects at a time.
+CACHE_LIMIT = 200_000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             if batch.num_rows:
                 cols = fn(batch, state) if setup else fn(batch)
                 yield pa.RecordBatch.from_arrays(

@@ -21,17 +21,24 @@ class Merges:
     def __init__(self, ranks: dict, pairs: dict | None = None):
         self.ranks = ranks
         self.pairs = pairs
-        self.longest = max((len(x) for x in ranks), default=1)
         self._fits: dict[tuple[Hashable, Hashable], bool] = {}
-        self._whole: dict[Hashable, bool] = {}
+        self._last: dict[Hashable, tuple | None] = {}
+        # longest entry by its first two symbols, and all neighbouring symbols that occur inside an entry
+        self._reach: dict = {}
+        self._inside: set = set()
+        for entry in ranks:
+            head = entry[:2]
+            if len(entry) > self._reach.get(head, 1):
+                self._reach[head] = len(entry)
+            self._inside.update(entry[i : i + 2] for i in range(len(entry) - 1))
 
     def _rank(self, left, right):
         return self.pairs.get((left, right)) if self.pairs is not None else self.ranks.get(left + right)
 
-    def merge(self, text: Sequence) -> list:
-        """The merges applied step by step; used on single entries and pairs, and as the tests' reference."""
+    def merge(self, text: Sequence, until: int = 1) -> list:
+        """The merges applied step by step, down to ``until`` parts; used on single entries, and as the tests' reference."""
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self._rank(parts[i], parts[i + 1])
@@ -42,22 +49,58 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def last_merge(self, token) -> tuple | None:
+        """The two parts of an entry's last merge; None where its symbols merge to something else."""
+        if token not in self._last:
+            parts = self.merge(token, until=2)
+            self._last[token] = tuple(parts) if len(parts) == 2 and self._rank(*parts) is not None else None
+        return self._last[token]
+
+    def stands(self, token) -> bool:
+        """Whether merging a vocabulary entry's symbols gives the entry itself."""
+        return len(token) == 1 or self.last_merge(token) is not None
+
     def fits(self, left, right) -> bool:
-        """Whether merging left + right gives back exactly these two tokens."""
+        """Whether merging left + right gives back exactly these two tokens.
+
+        The merges of both sides are taken back, latest first. The two parts at the seam would have merged if their rank comes before
+        the merges that took each of them up; of equal ranks the one further left comes first.
+        """
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 200_000:
                 self._fits.clear()
-            known = self._fits[key] = self.merge(left + right) == [left, right]
+            known = self._fits[key] = self._seam_holds(left, right)
         return known
 
-    def stands(self, token) -> bool:
-        """Whether merging a vocabulary entry's symbols gives the entry itself."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(token) == [token]
-        return known
+    def _seam_holds(self, left, right) -> bool:
+        taken_left = taken_right = float("inf")
+        rank = self.ranks.get
+        if not (self.stands(left) and self.stands(right)):
+            return False
+        while True:
+            seam = self._rank(left, right)
+            if seam is not None and seam < taken_left and seam <= taken_right:
+                return False
+            r_left = rank(left, -1) if len(left) > 1 else -1
+            r_right = rank(right, -1) if len(right) > 1 else -1
+            if r_left < 0 and r_right < 0:
+                return True
+            if r_left > r_right:
+                taken_left, left = r_left, self.last_merge(left)[1]
+            else:
+                taken_right, right = r_right, self.last_merge(right)[0]
+
+    def cut(self, text: Sequence) -> list:
+        """``text`` cut wherever two neighbouring symbols occur together in no entry, so that no token spans the cut."""
+        inside, out, begin = self._inside, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                out.append(text[begin:i])
+                begin = i
+        out.append(text[begin:])
+        return out
 
     def path(self, text: Sequence) -> list:
         """Tokens of ``text``: the path of finite weight through its lattice.
@@ -68,10 +111,10 @@ class Merges:
         n = len(text)
         if n <= 1:
             return [text] if n else []
-        ranks, fits, longest = self.ranks, self._fits, self.longest
+        ranks, fits, reach = self.ranks, self._fits, self._reach
         out: list = []
         dead: set[int] = set()
-        at, size = 0, min(n, longest)
+        at, size = 0, min(n, reach.get(text[:2], 1))
         while at < n:
             token = text[at : at + size]
             if (size == 1 or token in ranks) and at + size not in dead:
@@ -84,23 +127,16 @@ class Merges:
                 if ok:
                     out.append(token)
                     at += size
-                    size = min(n - at, longest)
+                    size = min(n - at, reach.get(text[at : at + 2], 1))
                     continue
             size -= 1
-            if not size:
+            while not size:
                 dead.add(at)
                 if not out:
                     return self.merge(text)
                 size = len(out.pop())
                 at -= size
                 size -= 1
-                while not size:
-                    dead.add(at)
-                    if not out:
-                        return self.merge(text)
-                    size = len(out.pop())
-                    at -= size
-                    size -= 1
         return out
 
 

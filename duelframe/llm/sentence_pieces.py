@@ -5,8 +5,8 @@ characters without a piece. In a merge-trained model the weight of a path is 0 w
 are what their merges give and infinite otherwise, so exactly one path has a finite weight
 and the shortest path in the tropical semiring is that one (``bpe.Merges.path``); adding up piece scores instead would
 not give the model's own segmentation. In a model without merges the weights are the negated piece scores.
-No piece continues past a blank that follows another character, so inputs are composed word by word and
-words seen lately keep their path.
+No piece continues past a blank that follows another character, nor past any two characters that occur together in no piece, so
+inputs are composed part by part and parts seen lately keep their path.
 """
 
 from __future__ import annotations
@@ -105,6 +105,9 @@ class PieceTransducer(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_LIMIT:
             self.clear()
+        if self.merged and len(parts := self.merges.cut(word)) > 1 and not word.startswith(BLANK * 2):
+            value = self[word] = b"".join([self[part] for part in parts])
+            return value
         ids: list[int] = []
         for piece in self.best_path(word):
             known = self.ids.get(piece)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, near_dedup, neighbours, quotes, sentence_pieces, token_counts, toxicity
+from duelframe.llm import language, media, mixing, near_dedup, neighbours, passages, quotes, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -62,7 +62,13 @@ def op1_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+
+def op5_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_paragraph_banding": op5_paragraph_banding,
     "op1_setsketch_near_dedup": op1_setsketch_near_dedup,
     "op2_quotation_linking": op2_quotation_linking,
     "op10_cross_polytope_neighbours": op10_cross_polytope_neighbours,

@@ -1,6 +1,8 @@
-"""Registered queries and their SQL counterparts."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from duelframe.plans import corpus, evaluation, items, loadouts, retrieval, scopes, text  # noqa: F401
+from duelframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

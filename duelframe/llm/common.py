@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,13 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise as a table in the shared folder and read it back.
+
+    Lineage is cut, an executor's loss costs nothing already written, and the planner sees the table's true size; a chain of
+    checkpointed frames would carry size estimates that multiply with every join.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a checkpointed frame that nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stage-" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(
@@ -141,6 +161,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("u").alias("c"), F.col("c").alias("cc"))
         after = checkpoint(near.join(jump, "c", "left").select("u", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
         done = after.where("c <> was").limit(1).count() == 0
+        discard(labels)
         labels = after.select("u", "c")
         if done:
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -1 +1,104 @@
-"""Queries."""
+"""Retrieval queries: benchmark texts asked of the documents, and one vector of the embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from duelframe.operators import retrieval as rt
+from duelframe.plans.registry import query as register
+from duelframe.sources.matches import tables
+
+BM25_SQL = """
+dt AS (SELECT doc_id AS id, source, list_concat(regexp_extract_all(lower(text), '[\\p{L}\\p{N}._-]+'), regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS toks FROM documents),
+shape AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
+post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM dt) GROUP BY ALL),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term), shape),
+mean AS (SELECT avg(r) AS m FROM raw),
+asked AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest(list_concat(regexp_extract_all(lower(text), '[\\p{L}\\p{N}._-]+'), regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]'))) AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT qid, term, qn * CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END AS weight FROM asked JOIN raw USING (term), mean),
+scored AS (SELECT qid, id, round(sum(weight * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM post JOIN weights USING (term), shape GROUP BY qid, id),
+bm AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, score FROM scored) WHERE rank <= 20),
+qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+cs AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, qv),
+dn AS (SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM cs ORDER BY score DESC, id LIMIT 20),
+fused AS (SELECT id, b.rank AS rank_first, d.rank AS rank_second, round(61 * (coalesce(0.5::DOUBLE / (60 + b.rank), 0.0) + coalesce(0.5::DOUBLE / (60 + d.rank), 0.0)), 9) AS score FROM (SELECT * FROM bm WHERE qid = 0) b FULL JOIN dn d USING (id))
+"""
+
+
+def sql(name: str, text: str):
+    return register(name, text, BM25_SQL)
+
+
+def _bm25(spark, sf_dir, k=20):
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    return rt.bm25(docs, bench.select(F.col("item_id").alias("qid"), "text"), k)
+
+
+def _dense(spark, sf_dir, k=20, where=None):
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    query = vectors.where("vec_id = 0").select("embedding").first()
+    return rt.dense(vectors, query["embedding"], k, where=where)
+
+
+@sql("r144_bm25", "SELECT * FROM bm WHERE rank <= 10")
+def bm25(spark, sf_dir):
+    return _bm25(spark, sf_dir, 10)
+
+
+@sql("r145_dense", "SELECT rank, id, score FROM dn")
+def dense(spark, sf_dir):
+    return _dense(spark, sf_dir)
+
+
+@sql("r146_dense_post_filter", "SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM (SELECT c.* FROM (SELECT * FROM cs ORDER BY score DESC, id LIMIT 20) c JOIN embeddings ON vec_id = id WHERE label IS NULL OR label = (SELECT label FROM embeddings WHERE vec_id = 0)) ORDER BY score DESC, id LIMIT 5")
+def dense_filtered(spark, sf_dir):
+    """The label filter applies after the cut to 20, so fewer than 5 may be left."""
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    label = vectors.where("vec_id = 0").select("label").first()["label"]
+    return _dense(spark, sf_dir, 5, where=F.col("label").isNull() | (F.col("label") == label))
+
+
+@sql("r125_min_max", "SELECT qid, id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS normalised FROM bm WINDOW w AS (PARTITION BY qid)")
+def min_max(spark, sf_dir):
+    return rt.min_max(_bm25(spark, sf_dir), "qid").select("qid", "id", "score", F.col("normalised"))
+
+
+@sql("r147_fusion", "SELECT * FROM fused ORDER BY score DESC, rank_first NULLS LAST, rank_second LIMIT 15")
+def fusion(spark, sf_dir):
+    return rt.reciprocal_rank_fusion(_bm25(spark, sf_dir).where("qid = 0"), _dense(spark, sf_dir)).limit(15)
+
+
+@sql("r122_lexical_overlap", "SELECT b.item_id, d.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')), regexp_extract_all(lower(d.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]'))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')))::DOUBLE, 9) AS overlap FROM bm JOIN benchmark b ON b.item_id = bm.qid JOIN documents d ON d.doc_id = bm.id")
+def lexical_overlap(spark, sf_dir):
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    rows = _bm25(spark, sf_dir).join(bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    return rows.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round(rt.lexical_overlap(F.col("question"), F.col("text")), 9).alias("overlap"))
+
+
+@sql("r149_diverse", "SELECT qid, id, pick FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (k > 1), score DESC, id)::INT AS pick FROM (SELECT bm.*, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, id) AS k FROM bm JOIN dt USING (id)) WHERE k <= 3) WHERE pick <= 8")
+def diverse(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    rows = _bm25(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    return rt.diverse(rows, 8).select("qid", "id", "pick")
+
+
+@sql("r148_lanes", "SELECT qid, id, max(score) AS score, array_to_string(list_sort(list_distinct(list(lane))), ',') AS lanes FROM (SELECT qid, id, score, 0 AS lane FROM bm UNION ALL SELECT qid, id, score, 1 FROM bm WHERE rank <= 5 UNION ALL SELECT qid, id, score * 0.5::DOUBLE, 2 FROM bm WHERE id % 2 = 0) GROUP BY qid, id")
+def lanes(spark, sf_dir):
+    rows = _bm25(spark, sf_dir)
+    typed = rows.where("id % 2 = 0").withColumn("score", F.col("score") * 0.5)
+    cols = ("qid", "id", "score")
+    found = rt.lanes(rows.select(*cols), rows.where("rank <= 5").select(*cols), typed.select(*cols))
+    return found.withColumn("lanes", F.array_join(F.transform("lanes", lambda x: x.cast("string")), ","))
+
+
+@register("r150_compress")
+def compress(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    return rt.compress(_bm25(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), max_items=6, budget=4200)
+
+
+@sql("r224_diagnostics", "SELECT qid, count(*) AS results, count(DISTINCT source) AS sources, max(score) AS best, min(score) AS worst FROM bm JOIN dt USING (id) GROUP BY qid")
+def diagnostics(spark, sf_dir):
+    (docs,) = tables(spark, sf_dir, "documents")
+    rows = _bm25(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    return rows.groupBy("qid").agg(F.count("*").alias("results"), F.countDistinct("source").alias("sources"), F.max("score").alias("best"), F.min("score").alias("worst"))

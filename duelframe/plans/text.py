@@ -1 +1,88 @@
-"""Queries."""
+"""Queries of the text expressions over sentences made from parts and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from duelframe.functions import text as tx
+from duelframe.operators import retrieval as rt
+from duelframe.plans.registry import query as register
+from duelframe.sources.matches import tables
+
+
+def _questions(spark, sf_dir):
+    (part,) = tables(spark, sf_dir, "part")
+    made = F.concat(F.lit("show top "), F.col("p_size").cast("string"), F.lit(" by win rate for "), "p_name", F.lit(" rank "), (F.col("p_partkey") % 40).cast("string"), F.lit(" on 2026/"), (F.col("p_partkey") % 12 + 1).cast("string"), F.lit("/7"))
+    return part.select("p_partkey", made.alias("text"))
+
+
+QUESTION = "SELECT p_partkey, 'show top ' || p_size || ' by win rate for ' || p_name || ' rank ' || p_partkey % 40 || ' on 2026/' || (p_partkey % 12 + 1) || '/7' AS text FROM part"
+
+
+@register("r120_tokens", "SELECT doc_id, len(list_concat(regexp_extract_all(lower(text), '[\\p{L}\\p{N}._-]+'), regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')))::INT AS tokens FROM documents")
+def tokens(spark, sf_dir):
+    return tables(spark, sf_dir, "documents")[0].select("doc_id", F.size(rt.tokens(F.col("text"))).alias("tokens"))
+
+
+@register("r132_top_n_and_rank", f"SELECT p_partkey, least(30, greatest(1, regexp_extract(text, 'top (\\d+)', 1)::INT)) AS top_n, least(30, greatest(1, regexp_extract(text, 'rank (\\d+)', 1)::INT)) AS rank FROM ({QUESTION})")
+def top_n_and_rank(spark, sf_dir):
+    return _questions(spark, sf_dir).select("p_partkey", tx.top_n(F.col("text")).alias("top_n"), tx.rank_target(F.col("text")).alias("rank"))
+
+
+@register("r133_metric_and_date", f"SELECT p_partkey, 'win_rate' AS metric, '2026-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || '-07' AS day FROM ({QUESTION})")
+def metric_and_date(spark, sf_dir):
+    return _questions(spark, sf_dir).select("p_partkey", tx.metric(F.col("text")).alias("metric"), tx.iso_date(F.col("text")).alias("day"))
+
+
+@register("r126_numeric_facts", "SELECT event_id, 2 AS facts, rtrim(rtrim(printf('%.2f', value), '0'), '.') AS first_value FROM events")
+def numeric_facts(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    text = F.concat(F.lit("usage rate "), F.format_string("%.2f", "value"), F.lit("% over 1,"), F.format_string("%03d", F.col("event_id") % 1000), F.lit(" games"))
+    facts = tx.numeric_facts(text)
+    return events.select("event_id", F.size(facts).alias("facts"), facts[0]["value"].alias("first_value"))
+
+
+@register("r131_resolved_names")
+def resolved_names(spark, sf_dir):
+    names = tx.resolve_names({"ring": "Ring", "small ring": "Small Ring", "red-widget": "Red Widget", "widget": "Widget"})
+    return tables(spark, sf_dir, "part")[0].select("p_partkey", names("p_name").alias("names"))
+
+
+@register("r155_grounding")
+def grounding(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    evidence = F.concat(F.lit("Card A usage rate "), F.format_string("%.1f", "value"), F.lit("%"))
+    answer = F.concat(F.lit("Card A usage rate "), F.format_string("%.1f", F.when(F.col("event_id") % 3 == 0, F.col("value") + 1).otherwise(F.col("value"))), F.lit("%"))
+    return events.select("event_id", tx.grounding({"Card A"})(answer, evidence).alias("g")).select("event_id", "g.passed", "g.unsupported")
+
+
+@register("r129_broken_percent", "SELECT event_id, event_id % 4 = 0 AS broken FROM events")
+def broken_percent(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 4 == 0, "win rate NaN %").otherwise("win rate 5 %")
+    return events.select("event_id", tx.has_broken_percent(text).alias("broken"))
+
+
+@register("r128_citations", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS unknown FROM events")
+def citations(spark, sf_dir):
+    (events,) = tables(spark, sf_dir, "events")
+    text = F.concat(F.lit("see snapshot:a1 and "), F.when(F.col("event_id") % 5 == 0, "official:zz").otherwise("official:b2"))
+    allowed = F.array(F.lit("snapshot:a1"), F.lit("official:b2"))
+    return events.select("event_id", F.size(tx.unknown_citations(text, allowed)).alias("unknown"))
+
+
+@register("r138_local_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, (ts + INTERVAL 8 HOUR)::DATE AS local_day FROM events")
+def local_dates(spark, sf_dir):
+    return tables(spark, sf_dir, "events")[0].select("event_id", tx.iso(F.col("ts")).alias("iso"), tx.local_date(F.col("ts")).alias("local_day"))
+
+
+@register("r130_number_containment", "SELECT doc_id, count(*) AS extra FROM (SELECT doc_id, n, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+')) AS n FROM documents) GROUP BY ALL) WHERE c > 1 GROUP BY doc_id")
+def number_containment(spark, sf_dir):
+    """Numbers that occur more often in a document than once: not contained in a source that has each of them once."""
+    numbers = tables(spark, sf_dir, "documents")[0].select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d+)"), 1)).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("c"))
+    return numbers.where("c > 1").groupBy("doc_id").agg(F.count("*").alias("extra"))
+
+
+@register("r38_field_probe", "SELECT key, count(*) AS rows FROM (SELECT unnest(json_keys(props::JSON)) AS key FROM events) GROUP BY key")
+def field_probe(spark, sf_dir):
+    return tables(spark, sf_dir, "events")[0].select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("rows"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duelframe.functions import text as tx
+from duelframe.operators import documents, stats
 from duelframe.operators import retrieval as rt
+from duelframe.plans.items import BASE
 from duelframe.plans.registry import query as register
-from duelframe.sources.matches import tables
+from duelframe.sources import matches, raw
+from duelframe.sources.matches import order_baskets, tables
 
 
 def _questions(spark, sf_dir):
@@ -86,3 +89,30 @@ def number_containment(spark, sf_dir):
 @register("r38_field_probe", "SELECT key, count(*) AS rows FROM (SELECT unnest(json_keys(props::JSON)) AS key FROM events) GROUP BY key")
 def field_probe(spark, sf_dir):
     return tables(spark, sf_dir, "events")[0].select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+
+
+@register("r23_normalised_logs", "SELECT '#' || o.ok AS team_tag, to_json(o.deck)::VARCHAR AS team_deck, o.score AS team_score FROM (SELECT l_orderkey AS ok, list_sort(list_distinct(list(p_type))) AS deck, count(*) FILTER (WHERE l_returnflag = 'R') AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) o")
+def normalised_logs(spark, sf_dir):
+    """Orders written as raw logs, their side an object or a list, their cards objects or names, and read again."""
+    lines, part = tables(spark, sf_dir, "lineitem", "part")
+    baskets = order_baskets(lines, part)
+    cards = F.when(F.col("ok") % 3 == 0, F.to_json(F.transform("deck", lambda x: F.struct(x.alias("name"))))).otherwise(F.to_json("deck"))
+    one = F.concat(F.lit('{"tag":"#'), F.col("ok").cast("string"), F.lit('","crowns":'), F.col("score").cast("string"), F.lit(',"cards":'), cards, F.lit("}"))
+    side = F.when(F.col("ok") % 2 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
+    logs = baskets.select(F.concat(F.lit('{"type":"ranked","battleTime":"t","team":'), side, F.lit(',"opponent":{"tag":"#x","deck":["A"]}}')).alias("value"))
+    return raw.normalise(raw.parse(logs)).select("team_tag", F.to_json("team_deck").alias("team_deck"), "team_score")
+
+
+@register("r159_item_documents", "SELECT 'snapshot:item:' || item AS doc_id, 'item' AS source_type, printf('Item: %s; usage rate %.2f%%; clean win rate %.2f%%; %d appearances.', item, usage_rate, clean_win_rate, appearances) AS text FROM item_stats UNION ALL SELECT 'snapshot:pair:' || item || '+' || teammate, 'pair', printf('Pair: %s with %s; %d games.', item, teammate, games) FROM teammates WHERE item < teammate", BASE)
+def item_documents(spark, sf_dir):
+    sides = matches.sides(matches.valid(matches.matches(spark, sf_dir)))
+    made = documents.all_documents(documents.item_documents(stats.item_stats(sides)), documents.deck_documents(stats.deck_stats(sides)), documents.pair_documents(stats.teammates(sides)))
+    return made.where("source_type <> 'deck'").select("doc_id", "source_type", "text")
+
+
+@register("r160_document_checks", "SELECT count(*) AS documents, 0 AS malformed FROM (SELECT item FROM item_stats UNION ALL SELECT deck_signature FROM decks)", BASE)
+def document_checks(spark, sf_dir):
+    sides = matches.sides(matches.valid(matches.matches(spark, sf_dir)))
+    made = documents.all_documents(documents.item_documents(stats.item_stats(sides)), documents.deck_documents(stats.deck_stats(sides)))
+    bad = documents.malformed(made).agg(F.count("*").cast("int").alias("malformed"))
+    return made.agg(F.count("*").alias("documents")).crossJoin(bad)

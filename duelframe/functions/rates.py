@@ -56,8 +56,9 @@ def wilson_lower(w: Column, l: Column) -> Column:
 
 def wilson_interval(w: Column, l: Column) -> tuple[Column, Column]:
     """Both bounds in percent, unrounded, inside [0, 100]; (0, 0) without decisions."""
-    low = F.coalesce(F.greatest(F.lit(0.0), _wilson(w, l, -1)), F.lit(0.0)) * 100
-    high = F.coalesce(F.least(F.lit(1.0), _wilson(w, l, 1)), F.lit(0.0)) * 100
+    decided = w + l > 0
+    low = F.when(decided, F.greatest(F.lit(0.0), _wilson(w, l, -1)) * 100).otherwise(0.0)
+    high = F.when(decided, F.least(F.lit(1.0), _wilson(w, l, 1)) * 100).otherwise(0.0)
     return low, high
 
 

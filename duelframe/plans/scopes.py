@@ -16,8 +16,8 @@ sn AS (SELECT dataset_scope, count(*) AS n FROM sside GROUP BY 1),
 scount AS (SELECT dataset_scope, item, count(*) AS games, sum(w)::BIGINT AS wins, sum(l)::BIGINT AS losses, sum(d)::BIGINT AS draws FROM (SELECT dataset_scope, unnest(deck) AS item, w, l, d FROM sside) GROUP BY ALL),
 sitem AS (SELECT dataset_scope, item, games, wins, losses, draws, round(games * 100.0::DOUBLE / n, 6) AS usage_rate, CASE WHEN wins + losses = 0 THEN 0.0 ELSE round(wins * 100.0::DOUBLE / (wins + losses), 6) END AS clean_win_rate FROM scount JOIN sn USING (dataset_scope)),
 wi AS (SELECT *, CASE WHEN wins + losses > 0 THEN wins::DOUBLE / (wins + losses) END AS p, (wins + losses)::DOUBLE AS nn FROM sitem),
-ci AS (SELECT *, coalesce(greatest(0.0, (p + 3.8416 / (2 * nn) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * nn)) / nn)) / (1 + 3.8416 / nn)), 0.0) * 100 AS lo,
-  coalesce(least(1.0, (p + 3.8416 / (2 * nn) + 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * nn)) / nn)) / (1 + 3.8416 / nn)), 0.0) * 100 AS hi FROM wi),
+ci AS (SELECT *, coalesce(CASE WHEN nn > 0 THEN greatest(0.0, (p + 3.8416 / (2 * nn) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * nn)) / nn)) / (1 + 3.8416 / nn)) END, 0.0) * 100 AS lo,
+  coalesce(CASE WHEN nn > 0 THEN least(1.0, (p + 3.8416 / (2 * nn) + 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * nn)) / nn)) / (1 + 3.8416 / nn)) END, 0.0) * 100 AS hi FROM wi),
 period AS (SELECT * FROM (VALUES ('7d', 'd7_14'), ('d7_14', 'd14_21'), ('d14_21', 'd21_28'), ('d21_28', 'd28_35')) t(cw, bw)),
 pairs AS (SELECT cw || '_' || lv AS cs, bw || '_' || lv AS bs FROM period, levels),
 ready AS (SELECT cs, bs FROM pairs WHERE cs IN (SELECT dataset_scope FROM sn) AND bs IN (SELECT dataset_scope FROM sn)),

@@ -52,7 +52,8 @@ def unknown_citations(text: Column, allowed: Column) -> Column:
 
 def strip_references(text: Column) -> Column:
     """The text before the earliest reference section that a model wrote."""
-    return F.rtrim(F.regexp_replace(text, r"(?s)\n[ #*]*(?:" + "|".join(REFERENCE_MARKERS) + r").*$", ""))
+    cut = F.regexp_replace(text, r"(?s)\n[ #*]*(?:" + "|".join(REFERENCE_MARKERS) + r").*$", "")
+    return F.regexp_replace(cut, r"\s+$", "")
 
 
 def top_n(text: Column, default: int = 10, most: int = 30) -> Column:

@@ -79,6 +79,15 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def arrow_lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    """Rows of a list column as views of one array, without a Python object per element."""
+    column = table.column(name).combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 class WordHash(dict):
     """word bytes -> 64-bit hash, kept for words seen lately so that repeated words cost one look-up."""
 

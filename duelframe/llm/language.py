@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import map_batches, split_by_hash
+from duelframe.llm.common import arrow_lists, map_batches, split_by_hash
 
 #: Most rows per language that the fit reads (a sample by hash, whatever the table's size).
 SAMPLE_PER_LANGUAGE = 600
@@ -143,12 +143,14 @@ def _grams(batch: pa.RecordBatch) -> dict:
 
 def fit(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Discriminator:
     """Learn from text and lang of rows outside ``held_out``; a sample of a bounded number of rows reaches the driver as feature vectors."""
-    rows = map_batches(training_rows(docs, held_out, per_language), _grams, "lang string, at array<int>, values array<float>").collect()
-    rows = sorted((r for r in rows if len(r["at"])), key=lambda r: (r["lang"], list(r["at"][:8]), list(r["values"][:8])))
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["values"]
-    y = np.array([r["lang"] for r in rows], object)
+    found = map_batches(training_rows(docs, held_out, per_language), _grams, "lang string, at array<int>, values array<float>").toArrow()
+    langs, at, values = found.column("lang").to_pylist(), arrow_lists(found, "at"), arrow_lists(found, "values")
+    # the order of rows decides the last digits of the fit, so it is made independent of partitioning
+    order = sorted((i for i in range(len(langs)) if len(at[i])), key=lambda i: (langs[i], at[i][:32].tobytes(), values[i][:32].tobytes()))
+    x = np.zeros((len(order), DIMS), np.float32)
+    for row, i in enumerate(order):
+        x[row, at[i]] = values[i]
+    y = np.array([langs[i] for i in order], object)
     return Discriminator(sorted(set(y)), x, y)
 
 

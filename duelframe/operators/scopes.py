@@ -15,6 +15,7 @@ WINDOWS = {"7d": (0, 7), "35d": (0, 35), "d7_14": (7, 14), "d14_21": (14, 21), "
 LEVELS = {"top_100": 100, "top_200": 200, "top_500": 500, "top_1000": 1000, "all": None}
 DELTA_WINDOWS = (("7d", "d7_14"), ("d7_14", "d14_21"), ("d14_21", "d21_28"), ("d21_28", "d28_35"))
 RANKED = "ranked_direct"
+MEASURES = ("games", "wins", "losses", "usage_rate", "clean_win_rate")
 SCOPES = [(f"{w}_{level}", *WINDOWS[w], limit) for w in WINDOWS for level, limit in LEVELS.items()]
 
 
@@ -86,10 +87,35 @@ def period_delta(current: DataFrame, baseline: DataFrame, keys: list[str], thres
     Both frames have ``keys``, games, wins, losses, usage_rate and clean_win_rate; absent items count as 0. Significant is what appeared or
     disappeared at the threshold, or moved by 0.5 points of usage or 3 of wins with disjoint Wilson intervals and enough games on both sides.
     """
-    measures = ("games", "wins", "losses", "usage_rate", "clean_win_rate")
-    now = current.select(*keys, *[F.col(c).alias(f"current_{c}") for c in measures])
-    then = baseline.select(*keys, *[F.col(c).alias(f"baseline_{c}") for c in measures])
-    both = now.join(then, keys, "full_outer").na.fill(0)
+    now = current.select(*keys, *[F.col(c).alias(f"current_{c}") for c in MEASURES])
+    then = baseline.select(*keys, *[F.col(c).alias(f"baseline_{c}") for c in MEASURES])
+    return _judged(now.join(then, keys, "full_outer").na.fill(0), keys, threshold)
+
+
+def adjacent_deltas(items: DataFrame, pairs: list[tuple[str, str]], key: str, threshold: int) -> DataFrame:
+    """The deltas of many scope pairs in one pass over per-scope items, without a join.
+
+    Every row takes part as current scope of its pair and as baseline of the one that follows; the two roles meet in a grouping.
+    Pairs of which a scope has no rows are left out.
+    """
+    before = F.create_map(*[x for c, b in pairs for x in (F.lit(c), F.lit(b))])
+    after = F.create_map(*[x for c, b in pairs for x in (F.lit(b), F.lit(c))])
+    scope = F.col("dataset_scope")
+    roles = F.array(
+        F.struct(scope.alias("current_scope"), F.try_element_at(before, scope).alias("baseline_scope"), F.lit(True).alias("now")),
+        F.struct(F.try_element_at(after, scope).alias("current_scope"), scope.alias("baseline_scope"), F.lit(False).alias("now")),
+    )
+    rows = items.select("*", F.explode(roles).alias("r")).where("r.current_scope IS NOT NULL AND r.baseline_scope IS NOT NULL")
+    keys = ["current_scope", "baseline_scope", key]
+    both = rows.select("r.*", key, *MEASURES).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("now"), F.col(c))).alias(f"current_{c}") for c in MEASURES], *[F.max(F.when(~F.col("now"), F.col(c))).alias(f"baseline_{c}") for c in MEASURES]
+    )
+    pair = Window.partitionBy("current_scope", "baseline_scope")
+    ready = both.withColumn("_ready", (F.count("current_games").over(pair) > 0) & (F.count("baseline_games").over(pair) > 0)).where("_ready").drop("_ready")
+    return _judged(ready.na.fill(0), keys, threshold)
+
+
+def _judged(both: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     c_low, c_high = rates.wilson_interval(F.col("current_wins"), F.col("current_losses"))
     b_low, b_high = rates.wilson_interval(F.col("baseline_wins"), F.col("baseline_losses"))
     usage, clean = F.col("current_usage_rate") - F.col("baseline_usage_rate"), F.col("current_clean_win_rate") - F.col("baseline_clean_win_rate")

@@ -117,19 +117,8 @@ def scope_item_rates(spark, sf_dir):
 
 
 def _deltas(spark, sf_dir):
-    items = _item_rates(spark, sf_dir)
     pairs = [(f"{c}_{lv}", f"{b}_{lv}") for c, b in sc.DELTA_WINDOWS for lv in sc.LEVELS]
-    named = F.create_map(*[x for c, b in pairs for x in (F.lit(c), F.lit(b))])
-    followed = F.create_map(*[x for c, b in pairs for x in (F.lit(b), F.lit(c))])
-    have = items.select("dataset_scope").distinct()
-    ready = have.select(F.col("dataset_scope").alias("current_scope"), F.element_at(named, F.col("dataset_scope")).alias("baseline_scope")).join(
-        have.select(F.col("dataset_scope").alias("baseline_scope")), "baseline_scope", "left_semi"
-    )
-    current = items.withColumnRenamed("dataset_scope", "current_scope").join(F.broadcast(ready), "current_scope")
-    baseline = items.withColumn("current_scope", F.element_at(followed, F.col("dataset_scope"))).withColumnRenamed("dataset_scope", "baseline_scope").join(
-        F.broadcast(ready), ["current_scope", "baseline_scope"], "left_semi"
-    )
-    return sc.period_delta(current, baseline, ["current_scope", "baseline_scope", "item"], threshold=10)
+    return sc.adjacent_deltas(_item_rates(spark, sf_dir), pairs, "item", threshold=10)
 
 
 @sql("r75_period_delta", "SELECT * FROM deltas")

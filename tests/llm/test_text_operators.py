@@ -137,6 +137,32 @@ def test_equal_windows_share_every_band():
     assert passages.window_minima(h, 46).tolist() == sorted({i + int(h[i : i + 46].argmin()) for i in range(255)})
 
 
+def test_window_minima_are_at_their_own_places():
+    r = np.random.default_rng(2)
+    for n, most in ((300, 40), (120, 3), (200, 1), (47, 5), (46, 5)):
+        h = r.integers(0, most, n, dtype=np.uint64)
+        assert passages.window_minima(h, 46).tolist() == sorted({i + int(h[i : i + 46].argmin()) for i in range(n - 45)})
+
+
+def test_passages_twice_in_one_document(spark):
+    """A later document's two copies go, and so does the second copy inside one document."""
+    hot, own = prose(70, 201), prose(60, 202)
+    rows = [(1, f"{prose(40, 203)} {hot}"), (2, f"{hot} {prose(45, 204)} {hot} {prose(20, 205)}"), (3, f"{own} {prose(30, 206)} {own} {prose(10, 207)}")]
+    got = {r.doc_id: r for r in passages.without_repeats(frame(spark, rows)).collect()}
+    assert got[1].removed_words == 0 and hot not in got[2].text and got[2].removed_words >= 138
+    assert got[3].text.startswith(own) and got[3].text.count(own) == 1 and got[3].removed_words >= 60 and got[3].n_links == 0
+
+
+def test_passage_whose_minima_occur_earlier_in_the_text():
+    """The lines that hold the passage's minima stand alone further up in the text: the passage is still marked at its own place."""
+    cache = WordHash()
+    hot = prose(50, 211).split()
+    pos = passages.anchors(word_ids(" ".join(hot).encode().split(), cache))[1].tolist()
+    early = [w for i, p in enumerate(pos) for w in [*hot[p : p + 5], *prose(25, 220 + i).split()]] + prose(60, 214).split()
+    keys, at = passages.anchors(word_ids(" ".join(early + hot + prose(30, 215).split()).encode().split(), cache))
+    assert {len(early) + p for p in pos} <= set(at.tolist())
+
+
 NASTY = ["a", "b", " ", "  ", "\n", "\t", "\x85", "\xa0", "　", "'s", "'ll", "<|endoftext|>", "<|endof", "1", "é", "日本", "!", "😀", "​", "ing", "\r\n", "İ", "_", "▁", "<0x0A>", "<s>"]
 
 

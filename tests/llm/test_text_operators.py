@@ -163,6 +163,20 @@ def test_passage_whose_minima_occur_earlier_in_the_text():
     assert {len(early) + p for p in pos} <= set(at.tolist())
 
 
+def test_passages_beside_a_line_of_an_earlier_document(spark):
+    """x and y share a few words and a 40-word line that an earlier document has too: y's copy is cut and linked to x."""
+    rows, shared = [], {}
+    for i in range(24):
+        line = prose(40, 300 + i)
+        shared[i] = f"{prose(11 + i % 10, 400 + i)} {line}"
+        rows += [(i, f"{prose(30, 500 + i)} {line} {prose(30, 600 + i)}")]
+        rows += [(100 + i, f"{prose(30, 700 + i)} {shared[i]} {prose(30, 800 + i)}"), (200 + i, f"{prose(20, 900 + i)} {shared[i]} {prose(40, 1000 + i)}")]
+    got = {r.doc_id: r for r in passages.without_repeats(frame(spark, rows)).collect()}
+    for i in range(24):
+        assert shared[i] in got[100 + i].text and shared[i] not in got[200 + i].text
+        assert got[200 + i].removed_words >= 51 + i % 10 and got[200 + i].component_id == 100 + i and got[i].n_links == 0
+
+
 NASTY = ["a", "b", " ", "  ", "\n", "\t", "\x85", "\xa0", "　", "'s", "'ll", "<|endoftext|>", "<|endof", "1", "é", "日本", "!", "😀", "​", "ing", "\r\n", "İ", "_", "▁", "<0x0A>", "<s>"]
 
 

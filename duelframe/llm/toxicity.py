@@ -30,7 +30,7 @@ _EDGE = b".,;:!?\"'()[]{}<>|*#%$&-_/\\=+~`"
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, positions in ``words``): every word and all letter groups of 4 to 7 bytes in it, as often as they occur."""
-    marked = [b"^" + w + b"$" if w else b"" for w in (x.strip(_EDGE)[:64] for x in words)]
+    marked = [b"^" + w + b"$" if w else b"" for w in (x.strip(_EDGE) for x in words)]
     sizes = np.array([len(m) for m in marked], np.int64)
     letters = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
     n = len(letters) - 8

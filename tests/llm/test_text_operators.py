@@ -267,6 +267,15 @@ def test_toxicity_of_held_out_rows_and_location(spark):
     assert toxicity.toxic_documents(frame(spark, []), marks).count() == 0
 
 
+def test_all_bytes_of_a_long_run_count():
+    for joint in ("天気がいい", "word/"):
+        plain, bad = (joint * 20).encode(), (joint * 20 + "vilecur").encode()
+        got, tail = set(toxicity.word_features([bad])[0].tolist()), toxicity.word_features([b"xvilecur"])
+        assert got != set(toxicity.word_features([plain])[0].tolist())
+        inner = {int(b) for b in tail[0].tolist()} & set(toxicity.word_features([b"yvilecur"])[0].tolist())
+        assert inner and inner <= got
+
+
 def test_media_payloads_round_trip(spark):
     import hashlib
 

@@ -89,9 +89,9 @@ def apportion(parties: DataFrame, seats: Column, votes: Column, cap: Column, gro
 
 
 def mix_sources(
-    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, shard_words: int = SHARD_WORDS, seed: int = SEED
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each row of ``docs``, and the row's ``carry`` columns.
 
     A source is dealt by a seeded hash over shards of about ``shard_words`` words. Blocks of equal token counts are
     apportioned over sources by target, then over a source's shards by size. A shard's documents lie in a seeded order on a ring;
@@ -100,7 +100,7 @@ def mix_sources(
     Repeated doc_ids are separate rows; equal rows on a ring are ordered by a hash of the row. An empty table gives no rows.
     """
     sized = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("_order")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("_order"), *carry
     )
     sized = checkpoint(sized)
     targets = source_targets(sized, weights, share, most)
@@ -137,17 +137,18 @@ def mix_sources(
         return F.greatest(F.lit(0), F.least(F.col("offset") + F.col("size"), hi) - F.greatest(F.col("offset"), lo))
 
     taken = F.col("turns") * F.col("size") + overlap(F.col("start"), end) + overlap(F.col("start") - F.col("shard_size"), end - F.col("shard_size"))
-    return laid.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row is repeated by its taken share, rounded to whole copies.
 
     Every column of ``docs`` is kept. A row whose share rounds to 0 goes; one that is taken twice comes twice. Rows of
-    size 0 (null or empty text) carry no tokens and are kept once.
+    size 0 (null or empty text) carry no tokens and are kept once. Rows with a null or repeated doc_id have their own copies.
     """
-    mix = mix_sources(docs, **options).groupBy("doc_id").agg(
-        F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)).cast("int").alias("_copies")
-    )
-    out = docs.join(mix, "doc_id").where("_copies > 0")
+    # numbered in a written table, so that a row keeps its number; doc_ids may be null or repeated
+    rows = checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    mix = mix_sources(rows, carry=("_row",), **options).select("_row", copies.alias("_copies")).where("_copies > 0")
+    out = rows.join(mix, "_row")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -340,6 +340,16 @@ def test_mix_meets_its_targets(spark):
     assert copies.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"] and 300 < copies.count() < 700
 
 
+def test_mixed_rows_with_null_or_repeated_ids_keep_their_own_copies(spark):
+    rows = [(None if i % 4 == 0 else i % 7, prose(5 + i, i), "en", "ab"[i % 2], 0) for i in range(60)] + [(None, None, None, "a", 0)]
+    df = frame(spark, rows)
+    size = Counter()
+    for r in mixing.mix_sources(df).collect():
+        size[r.doc_id, r.source, r.size] += int(r.taken / r.size + 0.5) if r.size else 1
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +size and any(k[0] is None for k in got)
+
+
 def test_seats_follow_the_highest_quotients(spark):
     votes = {"a": 53000, "b": 24000, "c": 23000, "d": 1}
     df = spark.createDataFrame([(0, k, v) for k, v in votes.items()], "g int, p string, v long")

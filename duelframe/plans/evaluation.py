@@ -77,7 +77,7 @@ def scorecard(spark, sf_dir):
 @register("r92_bootstrap")
 def bootstrap(spark, sf_dir):
     (labels,) = tables(spark, sf_dir, "labels")
-    return ev.bootstrap_mean(labels, "quality", iterations=200)
+    return ev.bootstrap_mean(labels, "quality")
 
 
 @register("r107_even_picks", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i IN (0, n - 1) OR list_contains([round_even(1 * (n - 1) / 4.0, 0)::BIGINT, round_even(2 * (n - 1) / 4.0, 0)::BIGINT, round_even(3 * (n - 1) / 4.0, 0)::BIGINT], i)")

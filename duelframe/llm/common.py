@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word of the dealt operators: a run of characters outside space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,14 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset on a single machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """``df`` with all its columns inside one struct ``row``, so that no name of theirs clashes with those of ``more``; ``row.*`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
+def with_row(df: DataFrame, more: str) -> StructType:
+    """Schema of a frame that keeps ``row`` of ``whole_rows`` and has the columns ``more``."""
+    return StructType([StructField("row", df.schema["row"].dataType), *StructType.fromDDL(more)])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise as a table in the shared folder and read it back.
 
@@ -53,13 +67,12 @@ def discard(df: DataFrame) -> None:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, setup: Callable[[], object] | None = None
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, setup: Callable[[], object] | None = None
 ) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns a batch (and what ``setup`` made once per task) into columns by name."""
-    from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None

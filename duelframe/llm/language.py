@@ -1,6 +1,6 @@
 """Language identification in two steps: family first, then one-versus-one linear support vector machines within it.
 
-Texts become normalised counts of hashed character 1- to 3-grams of their lower-cased letters. A linear machine per pair of families votes for the
+Texts become normalised counts of hashed byte 1- to 4-grams of their lower-cased letters in UTF-8. A linear machine per pair of families votes for the
 family; the pairwise machines of that family's languages vote for the language. Machines are fitted here, on a bounded
 sample of labelled rows, by dual coordinate descent of the squared hinge loss.
 """
@@ -12,13 +12,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import arrow_lists, map_batches, split_by_hash
+from duelframe.llm.common import arrow_lists, map_batches, split_by_hash, whole_rows, with_row
 
-#: Most rows per language that the fit reads (a sample by hash, whatever the table's size).
-SAMPLE_PER_LANGUAGE = 600
+#: Most rows per language that the fit reads (a sample by hash, whatever the table's size); it also bounds what reaches the driver.
+SAMPLE_PER_LANGUAGE = 400
 DIMS = 1 << 13
 UNKNOWN = "und"
 # Families of language codes; a code without an entry is a family of its own.
@@ -63,19 +63,24 @@ def gram_counts(raw: bytes, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (values / np.linalg.norm(values)).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights (bias last) of a linear machine for y in {-1, 1}: squared hinge loss, dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    diagonal = (x * x).sum(axis=1) + 1 / (2 * cost)
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit_machine(x: Rows, y: np.ndarray, dims: int = DIMS, cost: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights (bias last) of a linear machine for y in {-1, 1}: squared hinge loss, dual coordinate descent over sparse rows."""
+    w, alpha = np.zeros(dims + 1), np.zeros(len(x))
+    diagonal = [float(v @ v) + 1 + 1 / (2 * cost) for _, v in x]
     rnd = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rnd.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost)
+            at, values = x[i]
+            gradient = y[i] * (w[at] @ values + w[dims]) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * values
+                w[dims] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -86,7 +91,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int =
 class Discriminator:
     """Families' and languages' one-versus-one machines."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, langs: list[str], x: Rows, y: np.ndarray):
         self.families = {f: [l for l in langs if family(l) == f] for f in sorted({family(l) for l in langs})}
         of = np.array([family(l) for l in y]) if len(y) else np.array([], object)
         self.machines = {("", a, b): self._fit(x, of, a, b) for a, b in combinations(self.families, 2)}
@@ -94,9 +99,9 @@ class Discriminator:
             self.machines |= {(f, a, b): self._fit(x, y, a, b) for a, b in combinations(members, 2)}
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, a: str, b: str) -> np.ndarray:
+    def _fit(x: Rows, y: np.ndarray, a: str, b: str) -> np.ndarray:
         rows = np.flatnonzero((y == a) | (y == b))
-        return fit_machine(x[rows], np.where(y[rows] == a, 1.0, -1.0)).astype(np.float32)
+        return fit_machine([x[i] for i in rows], np.where(y[rows] == a, 1.0, -1.0)).astype(np.float32)
 
     def _vote(self, level: str, members: list[str], at: np.ndarray, values: np.ndarray) -> tuple[str, float]:
         """The member with most wins, ties to the larger sum of margins, and its mean probability against the others."""
@@ -123,11 +128,13 @@ class Discriminator:
 
 
 def training_rows(docs: DataFrame, held_out: Column, per_language: int) -> DataFrame:
-    """About ``per_language`` labelled rows of each language, chosen by a hash of doc_id; never more than twice as many."""
+    """At most ``per_language`` labelled rows of each language, those whose hash of doc_id and text is smallest; repeated rows add nothing beyond that."""
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(counts), "lang").where(draw < per_language / F.col("_n")).select("lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    few = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(counts), "lang").where(F.col("draw") < 1.5 * per_language / F.col("n"))
+    # the limit applies in every task before the shuffle, so not even a row repeated without end is gathered
+    return few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("at") <= per_language).select("lang", "text")
 
 
 def _grams(batch: pa.RecordBatch) -> dict:
@@ -136,50 +143,44 @@ def _grams(batch: pa.RecordBatch) -> dict:
         raw = letters(text)
         at, values = gram_counts(raw) if raw else (np.zeros(0, np.int32), np.zeros(0, np.float32))
         out["lang"].append(lang)
-        out["at"].append(at)
+        out["at"].append(at.astype(np.int16))
         out["values"].append(values)
     return out
 
 
 def fit(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Discriminator:
-    """Learn from text and lang of rows outside ``held_out``; a sample of a bounded number of rows reaches the driver as feature vectors."""
-    found = map_batches(training_rows(docs, held_out, per_language), _grams, "lang string, at array<int>, values array<float>").toArrow()
+    """Learn from text and lang of rows outside ``held_out``; a sample of a bounded number of rows reaches the driver as sparse feature vectors."""
+    found = map_batches(training_rows(docs, held_out, per_language), _grams, "lang string, at array<smallint>, values array<float>").toArrow()
     langs, at, values = found.column("lang").to_pylist(), arrow_lists(found, "at"), arrow_lists(found, "values")
     # the order of rows decides the last digits of the fit, so it is made independent of partitioning
     order = sorted((i for i in range(len(langs)) if len(at[i])), key=lambda i: (langs[i], at[i][:32].tobytes(), values[i][:32].tobytes()))
-    x = np.zeros((len(order), DIMS), np.float32)
-    for row, i in enumerate(order):
-        x[row, at[i]] = values[i]
     y = np.array([langs[i] for i in order], object)
-    return Discriminator(sorted(set(y)), x, y)
+    return Discriminator(sorted(set(y)), [(at[i], values[i]) for i in order], y)
 
 
-def predict(docs: DataFrame, model: Discriminator, *carry: Column | str) -> DataFrame:
-    """``carry`` columns, lang_pred and score of every row. Null texts and texts without a letter are ``und`` with score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carry, F.col("text").alias("_text"))
-    names = rows.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+def predict(docs: DataFrame, model: Discriminator) -> DataFrame:
+    """(row, lang_pred, score): every row as it is in the struct ``row``. Null texts and texts without a letter are ``und`` with score 0."""
+    rows = whole_rows(docs)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(x) for x in batch.column("_text").to_pylist()]
-        return {n: batch.column(n) for n in names} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        found = [model.predict(x) for x in batch.column("row").field("text").to_pylist()]
+        return {"row": batch.column("row"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
-    return map_batches(rows, run, f"{schema}, lang_pred string, score double")
+    return map_batches(rows, run, with_row(rows, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
     Rows with crc32(doc_id) mod 3 = 1 are held out of the fit. lang, source and doc_id never enter a prediction. With no labelled row
-    to learn from, every prediction is ``und``. Repeated rows stay, an empty table gives no rows, other columns are ignored.
+    to learn from, every prediction is ``und``. Repeated rows stay, an empty table gives no rows, other columns are ignored whatever their names.
     """
     held_out = F.coalesce(split_by_hash("doc_id", 3) == 1, F.lit(False))
-    return predict(docs, fit(docs, held_out, per_language), "doc_id", held_out.alias("held_out"))
+    found = predict(docs.select("doc_id", "text"), fit(docs, held_out, per_language)).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The rows whose text has an identifiable language, with all their columns; rows predicted ``und`` go."""
+    """The rows whose text has an identifiable language, with all their columns, whatever their names; rows predicted ``und`` go."""
     held_out = F.coalesce(split_by_hash("doc_id", 3) == 1, F.lit(False))
-    model = fit(docs, held_out, per_language)
-    return predict(docs, model, *docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return predict(docs, fit(docs, held_out, per_language)).where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import WORD, checkpoint
+from duelframe.llm.common import WORD, checkpoint, whole_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -57,16 +57,20 @@ def apportion(parties: DataFrame, seats: Column, votes: Column, cap: Column, gro
     misses are then moved along the quotients, so no list of all seats is made.
     """
     w = Window.partitionBy(*group)
-    start = (
+    start = checkpoint(
         parties.withColumn("_votes", votes.cast("double"))
         .withColumn("_cap", cap.cast("long"))
         .withColumn("_seats", F.least(seats.cast("long"), F.sum("_cap").over(w)))
         .withColumn("_ideal", F.coalesce(F.try_divide(F.col("_votes") * F.col("_seats"), F.sum("_votes").over(w)), F.lit(0.0)))
         .withColumn("_s", F.least(F.floor(F.col("_ideal") + 0.5).cast("long"), F.col("_cap")))
         .withColumn("_miss", F.col("_seats") - F.sum("_s").over(w))
+        .withColumn("_n", F.count("*").over(w))
+        .withColumn("_part", F.coalesce(F.try_divide(F.col("_votes"), F.sum(F.when(F.col("_s") < F.col("_cap"), F.col("_votes"))).over(w)), F.lit(1.0)))
     )
-    # seats that may be added (s, s+1, ...) or given back (s-1, s-2, ...)
-    step = F.explode(F.sequence(F.lit(0), F.greatest(F.abs("_miss") - 1, F.lit(0))))
+    # seats that may be added (s, s+1, ...) or given back (s-1, s-2, ...): rounding alone moves a party by no more than its part of
+    # misses and parties, and one; where caps leave more seats than that, each party may take all of them
+    most_moved = F.when(F.abs("_miss") <= F.col("_n"), F.least(F.abs("_miss"), F.floor(F.col("_part") * (F.abs("_miss") + F.col("_n"))) + 2)).otherwise(F.abs("_miss"))
+    step = F.explode(F.sequence(F.lit(0), F.greatest(most_moved.cast("long") - 1, F.lit(0).cast("long"))))
     moved = start.where("_miss <> 0").select("*", step.alias("_k"))
     gain = moved.where("_miss > 0 AND _s + _k < _cap").withColumn("_q", F.col("_votes") / (2 * (F.col("_s") + F.col("_k")) + 1))
     lose = moved.where("_miss < 0 AND _s - _k > 0").withColumn("_q", -F.col("_votes") / (2 * (F.col("_s") - F.col("_k")) - 1))
@@ -110,6 +114,7 @@ def mix_sources(
     quotas = apportion(
         blocks.withColumn("_all", F.lit(0)), all_seats, F.col("target"), F.floor(most * F.col("source_size") / F.col("block")), ["_all"], ["source"]
     ).withColumnRenamed("quota", "source_blocks").drop("_all")
+    quotas = checkpoint(quotas)
     # the sources are few beside the documents, but their number is not bounded, so the joins are left to Spark
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))).cast("int")
     placed = (
@@ -119,9 +124,9 @@ def mix_sources(
     per_shard = placed.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.max("block").alias("block"), F.max("source_blocks").alias("source_blocks"), F.max("source_size").alias("source_size")
     )
-    shard_quota = apportion(
+    shard_quota = checkpoint(apportion(
         per_shard, F.col("source_blocks"), F.col("shard_size"), F.floor(most * F.col("shard_size") / F.col("block")), ["source"], ["shard"]
-    ).select(F.col("source").alias("_src"), F.col("shard").alias("_shard"), "shard_size", (F.col("quota") * F.col("block")).alias("quota_words"))
+    ).select(F.col("source").alias("_src"), F.col("shard").alias("_shard"), "shard_size", (F.col("quota") * F.col("block")).alias("quota_words")))
     ring = Window.partitionBy("source", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = (
         placed.withColumn("offset", F.coalesce(F.sum("size").over(ring), F.lit(0)))
@@ -143,12 +148,11 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row is repeated by its taken share, rounded to whole copies.
 
-    Every column of ``docs`` is kept. A row whose share rounds to 0 goes; one that is taken twice comes twice. Rows of
+    Every column of ``docs`` is kept, whatever its name. A row whose share rounds to 0 goes; one that is taken twice comes twice. Rows of
     size 0 (null or empty text) carry no tokens and are kept once. Rows with a null or repeated doc_id have their own copies.
     """
     # numbered in a written table, so that a row keeps its number; doc_ids may be null or repeated
-    rows = checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = checkpoint(whole_rows(docs, F.monotonically_increasing_id().alias("at")))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    mix = mix_sources(rows, carry=("_row",), **options).select("_row", copies.alias("_copies")).where("_copies > 0")
-    out = rows.join(mix, "_row")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mix = mix_sources(rows.select("row.doc_id", "row.source", "row.text", "at"), carry=("at",), **options).select("at", copies.alias("copies")).where("copies > 0")
+    return rows.join(mix, "at").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -2,13 +2,15 @@
 
 A sequence of tokens is what the merges make of its text exactly when that holds for every pair of
 neighbours. So the merges of a text are the one path through its lattice of vocabulary entries on which all
-neighbours are compatible, and a left-to-right pass that knows the last token before each position finds it.
+neighbours are compatible: the shortest path where an arc weighs 0 if it fits the token before it and is infinite otherwise.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Hashable, Sequence
+from heapq import heappop, heappush
+
 
 
 class Merges:
@@ -36,18 +38,33 @@ class Merges:
         return self.pairs.get((left, right)) if self.pairs is not None else self.ranks.get(left + right)
 
     def merge(self, text: Sequence, until: int = 1) -> list:
-        """The merges applied step by step, down to ``until`` parts; used on single entries, and as the tests' reference."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > until:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self._rank(parts[i], parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The merges applied step by step, best first, down to ``until`` parts; used on single entries, and as the tests' reference."""
+        n = len(text)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple] = []
+
+        def offer(at: int) -> None:
+            if end[at] < n and (rank := self._rank(text[at : end[at]], text[end[at] : end[end[at]]])) is not None:
+                heappush(queue, (rank, at, end[at], end[end[at]]))
+
+        for at in range(n):
+            offer(at)
+        left = n
+        while queue and left > until:
+            _, at, mid, stop = heappop(queue)
+            # a part that was merged meanwhile has another end, or none
+            if end[at] == mid and end[mid] == stop:
+                end[at], end[mid], left = stop, -1, left - 1
+                if stop < n:
+                    before[stop] = at
+                offer(at)
+                if before[at] >= 0:
+                    offer(before[at])
+        out, at = [], 0
+        while at < n:
+            out.append(text[at : end[at]])
+            at = end[at]
+        return out
 
     def last_merge(self, token) -> tuple | None:
         """The two parts of an entry's last merge; None where its symbols merge to something else."""
@@ -103,41 +120,69 @@ class Merges:
         return out
 
     def path(self, text: Sequence) -> list:
-        """Tokens of ``text``: the path of finite weight through its lattice.
+        """Tokens of ``text``: the shortest path through its lattice in the tropical semiring.
 
-        Longest entries are tried first. A prefix has one path only, so a position from which the end
-        can't be reached is left for good.
+        A state is a position with the token that ends there. An arc to the next token weighs 0 if that fits and is infinite otherwise, so all
+        states within reach are equally near and may be settled in any order: last found first, longest tokens first, which mostly goes straight
+        to the end. Only one token of finite weight ends at a position, so a position that was left without reaching the end is
+        settled for good, and the work is linear in the text.
         """
         n = len(text)
         if n <= 1:
             return [text] if n else []
-        ranks, fits, reach = self.ranks, self._fits, self._reach
-        out: list = []
-        dead: set[int] = set()
+        ranks, known, reach = self.ranks, self._fits, self._reach
+        path: list = []
+        settled: set[int] = set()
         at, size = 0, min(n, reach.get(text[:2], 1))
         while at < n:
             token = text[at : at + size]
-            if (size == 1 or token in ranks) and at + size not in dead:
-                if out:
-                    ok = fits.get((out[-1], token))
-                    if ok is None:
-                        ok = self.fits(out[-1], token)
+            if (size == 1 or token in ranks) and at + size not in settled:
+                if path:
+                    near = known.get((path[-1], token))
+                    if near is None:
+                        near = self.fits(path[-1], token)
                 else:
-                    ok = size == 1 or self.stands(token)
-                if ok:
-                    out.append(token)
+                    near = self.stands(token)
+                if near:
+                    path.append(token)
                     at += size
                     size = min(n - at, reach.get(text[at : at + 2], 1))
                     continue
             size -= 1
             while not size:
-                dead.add(at)
-                if not out:
+                settled.add(at)
+                if not path:
                     return self.merge(text)
-                size = len(out.pop())
+                size = len(path.pop())
                 at -= size
                 size -= 1
-        return out
+        return path
+
+
+class Counter:
+    """Deterministic transducer that reads symbols and emits on each transition how the number of tokens changes; compiled as it is used.
+
+    A state holds, for every start from which a vocabulary entry may still go on, the symbols read since then, the token that ends
+    there, and how many tokens fewer there are up to there. Texts that agree in these go on alike, whatever came before.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.open = {entry[:i] for entry in merges.ranks for i in range(1, len(entry))}
+        self.start = ((next(iter(merges.ranks))[:0], None, 0),)
+
+    def step(self, state: tuple, symbol) -> tuple[tuple, int]:
+        """(next state, change of the token count)."""
+        merges, ranks = self.merges, self.merges.ranks
+        for read, before, behind in state:
+            token = read + symbol
+            if (len(token) == 1 or token in ranks) and (merges.stands(token) if before is None else merges.fits(before, token)):
+                break
+        else:
+            raise ValueError("merges without a pairwise form")
+        change = behind + 1
+        alive = [(read + symbol, before, behind - change) for read, before, behind in state if read + symbol in self.open]
+        return (*alive, (symbol[:0], token, 0)), change
 
 
 def byte_level(path: str) -> tuple[Merges, dict[bytes, int], list[str]]:

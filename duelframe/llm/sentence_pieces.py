@@ -1,12 +1,12 @@
 """Encoding and decoding with a subword model as a weighted finite-state transducer.
 
 The transducer is the composition of the normaliser (dummy prefix, blanks written as U+2581), the pieces, and byte fallback for
-characters without a piece. In a merge-trained model the weight of a path is 0 where all neighbouring pieces
-are what their merges give and infinite otherwise, so exactly one path has a finite weight
-and the shortest path in the tropical semiring is that one (``bpe.Merges.path``); adding up piece scores instead would
-not give the model's own segmentation. In a model without merges the weights are the negated piece scores.
+characters without a piece. An input is composed with it to a lattice, and its ids are the shortest path in the tropical semiring. In a
+merge-trained model an arc weighs 0 where a piece is what the merges give beside the piece before it and is infinite otherwise
+(``bpe.Merges.path``); adding up piece scores instead would not give the model's own segmentation. In a model without merges the
+weights are the negated piece scores. Either way positions are relaxed once from left to right, so the work is linear in the text.
 No piece continues past a blank that follows another character, nor past any two characters that occur together in no piece, so
-inputs are composed part by part and parts seen lately keep their path.
+inputs are composed part by part and short parts seen lately keep their path.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BLANK = "▁"
 # Piece types and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 WEIGHTED, MERGED = 1, 2
+#: Longest part whose path is kept.
+KEPT_CHARS = 64
 
 
 def _fields(buf: bytes):
@@ -84,9 +86,9 @@ class PieceTransducer(dict):
         self.out = [b"" if kind in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(BLANK, " ").encode() for p, _, kind in self.pieces]
 
     def best_path(self, word: str) -> list[str]:
+        """Pieces on the shortest path; a character that is no piece is an arc by itself."""
         if self.merged:
-            # blanks in a row tie with each other, so their merges are followed step by step
-            return self.merges.merge(word) if word.startswith(BLANK * 2) else self.merges.path(word)
+            return self.merges.path(word)
         lowest = min(self.score.values()) - 10.0
         best: list[tuple[float, str]] = [(0.0, "")]
         for end in range(1, len(word) + 1):
@@ -105,19 +107,21 @@ class PieceTransducer(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_LIMIT:
             self.clear()
-        if self.merged and len(parts := self.merges.cut(word)) > 1 and not word.startswith(BLANK * 2):
-            value = self[word] = b"".join([self[part] for part in parts])
-            return value
-        ids: list[int] = []
-        for piece in self.best_path(word):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        value = self[word] = np.asarray(ids, "<i4").tobytes()
+        if self.merged and len(parts := self.merges.cut(word)) > 1:
+            value = b"".join([self[part] for part in parts])
+        else:
+            ids: list[int] = []
+            for piece in self.best_path(word):
+                known = self.ids.get(piece)
+                if known is not None:
+                    ids.append(known)
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in piece.encode()]
+                else:
+                    ids.append(self.unknown)
+            value = np.asarray(ids, "<i4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = value
         return value
 
     def encode(self, text: str) -> bytes:

@@ -190,7 +190,7 @@ def test_token_counts_equal_the_library(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    rows = [(i, t) for i, t in enumerate(nasty(200, 1) + [prose(60, i) for i in range(20)] + ["y" * 3000, None, ""])]
+    rows = [(i, t) for i, t in enumerate(nasty(200, 1) + [prose(60, i) for i in range(20)] + ["y" * 3000, None, "", "don't 'tis ''s 'r're 've'l 'LL x'"])]
     want = {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
     for chunk in (1 << 16, 7):
         got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, rows), path, chunk).collect()}
@@ -200,6 +200,36 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
+LONG = ["a" + " " * 100_000 + "b", "xyq" * 350_000, "日本" * 20_000, "\n" * 50_000 + "z", ("word " * 7 + "  \n") * 9_000]
+
+
+def test_very_long_texts_equal_the_libraries(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = list(enumerate(LONG))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, rows), path, 10_000).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in sentence_pieces.encode_documents(frame(spark, rows), path).select("doc_id", "ids", "decoded").collect():
+        assert r.ids == pieces.encode(LONG[r.doc_id]) and r.decoded == pieces.decode(r.ids)
+
+
+def test_transducer_states_name_all_that_matters():
+    """Counting in steps through any cut gives the whole: the state carries what the rest needs."""
+    t = token_counts.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in nasty(60, 7):
+        state, n = t.start, 0
+        for char in text:
+            state, change = t.state(state.mode, state.inner, state.waiting)[char]
+            n += change
+        if not t.special.search(text):
+            assert n + t.final(state) == t.count(text)
+
+
 def test_pieces_equal_the_library_and_round_trip(spark):
     import sentencepiece
 
@@ -220,6 +250,10 @@ def test_merge_paths_equal_stepwise_merges():
     for _ in range(400):
         raw = bytes(r.choice(b"theandingreo sz1!\xc3\xa9") for _ in range(r.randint(1, 14)))
         assert merges.path(raw) == merges.merge(raw)
+    pieces = sentence_pieces.PieceTransducer(public_tokenizers.path("piece_bpe_32k.model")).merges
+    for n in range(1, 90):
+        for end in ("", "a", "the", "1", "日"):
+            assert pieces.path("▁" * n + end) == pieces.merge("▁" * n + end)
 
 
 def sample_docs():

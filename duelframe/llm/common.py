@@ -146,15 +146,19 @@ def split_by_hash(key: str | Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(modulus)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", pieces: int = 64) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than a thousandth of the rows (and over 1,000), of which there are fewer than 1,000 at any size."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg((F.count("*") / 1000).alias("_cut"))
+    return counts.join(F.broadcast(total), F.col("_n") > F.greatest(F.col("_cut"), F.lit(1000.0))).select(key)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", pieces: int = 64, hot: DataFrame | None = None) -> DataFrame:
     """Join where a key may hold a large share of ``many`` and is unique in ``one``.
 
-    Keys with more than a thousandth of the rows, of which there are fewer than 1,000 at any size, are
-    broadcast; their rows of ``many`` are dealt over ``pieces`` and their row of ``one`` is copied to each piece.
+    The ``hot_keys`` of ``many`` (or those given) are broadcast; their rows of ``many`` are dealt over ``pieces`` and their row of ``one`` is copied to each piece.
     """
-    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = many.agg((F.count("*") / 1000).alias("_cut"))
-    hot = F.broadcast(counts.join(F.broadcast(total), F.col("_n") > F.greatest(F.col("_cut"), F.lit(1000.0))).select(key, F.lit(True).alias("_hot")))
+    hot = F.broadcast((hot_keys(many, key) if hot is None else hot).select(key, F.lit(True).alias("_hot")))
     deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in many.columns if c != key][:1]), F.lit(pieces)).cast("int")).otherwise(0)
     left = many.join(hot, key, "left").withColumn("_salt", deal).drop("_hot")
     right = one.join(hot, key, "left").withColumn(

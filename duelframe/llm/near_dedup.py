@@ -5,10 +5,11 @@ exponentially spaced minimum, which merges by maximum and agrees between two doc
 sets do. Bands of registers give candidate buckets; candidates are estimated jointly by likelihood from the registers and the exact set
 sizes, and those not clearly below the threshold are verified on full sets.
 
-Equal sets are one class with one representative, so copies are never compared. In a bucket every member is first held against one
-only: the member that shares most buckets with others, which in a group of edited copies is the text that they were made of. A second turn
-holds what is still outside a bucket's largest component against another member of it. Components that came near each other without a link are
-then compared member by member on full sets, so that no link is lost to the choice of one member.
+Equal sets are one class with one node, so copies are never compared. In a bucket every member is held against one centre: the member that meets
+most others in all its buckets, which in a group of edited copies is the text that they were made of. A bucket whose other members then still
+belong to several components has pairs that no centre has tried; all members of such buckets go to an exact similarity join over the rarest
+shingles of each set (prefix and position bounds, so only pairs that may reach the threshold are made), and its pairs are verified on full sets too.
+So every pair of nodes that shares a bucket is decided, without all pairs of a bucket being made.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import WordHash, checkpoint, components, map_batches, mix, shingles, signed, texts, word_ids
+from duelframe.llm.common import (
+    WordHash, checkpoint, components, discard, hot_keys, map_batches, mix, salted_join, shingles, signed, texts, whole_rows, word_ids,
+)
 
 BANDS = 48
 ROWS = 7
@@ -27,10 +30,6 @@ REGISTERS = BANDS * ROWS
 BASE = 1.1
 RATE = 20.0
 TOP = 255
-#: Turns in which a bucket's members are held against one member.
-STARS = 2
-#: Documents of a cluster that one task holds on either side of that comparison.
-PIECE = 1000
 #: Estimates below this go unverified; it lies more than six standard errors under the threshold of 0.8.
 LEAST_ESTIMATE = 0.65
 
@@ -84,6 +83,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.take_along_axis(j, (more * logs[0] + less * logs[1] + same * logs[2]).argmax(axis=1)[:, None], 1)[:, 0]
 
 
+def digest(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    whole = xxhash.xxh3_128_intdigest(elements.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, d1, d2, regs) of every row: set size, 128-bit digest of the set, registers (null for an empty set)."""
 
@@ -91,10 +96,10 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         out: dict[str, list] = {"n": [], "d1": [], "d2": [], "regs": []}
         for text in texts(batch):
             own = shingle_set(text, width, cache)
-            digest = xxhash.xxh3_128_intdigest(own.tobytes())
+            d1, d2 = digest(own)
             out["n"].append(len(own))
-            out["d1"].append((digest >> 64) - (1 << 63))
-            out["d2"].append((digest & ((1 << 64) - 1)) - (1 << 63))
+            out["d1"].append(d1)
+            out["d2"].append(d2)
             out["regs"].append(registers(own).tobytes() if len(own) else None)
         return out | {"doc_id": batch.column("doc_id")}
 
@@ -105,7 +110,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 def _keys(batch: pa.RecordBatch) -> dict:
     sketches = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
     keys = signed(band_keys(sketches))
-    return {"rep": batch.column("rep"), "n": batch.column("n"), "keys": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))}
+    return {"node": batch.column("node"), "n": batch.column("n"), "keys": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))}
 
 
 def _may_reach(n_a: str, n_b: str, percent: int) -> Column:
@@ -113,10 +118,10 @@ def _may_reach(n_a: str, n_b: str, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose joint estimate is at least ``least``."""
-    with_b = pairs.join(reps.select(F.col("rep").alias("b"), F.col("regs").alias("regs_b"), F.col("n").alias("n_b")), "b")
-    with_a = with_b.join(reps.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"), F.col("n").alias("n_a")), "a")
+def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose joint estimate is at least ``least``; ``a`` may be in very many of them."""
+    with_b = pairs.join(nodes.select(F.col("node").alias("b"), F.col("regs").alias("regs_b"), F.col("n").alias("n_b")), "b")
+    with_a = salted_join(with_b, nodes.select(F.col("node").alias("a"), F.col("regs").alias("regs_a"), F.col("n").alias("n_a")), "a", "inner", hot=hot_keys(pairs, "a"))
 
     def run(batch: pa.RecordBatch) -> dict:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
@@ -125,81 +130,66 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return map_batches(with_a.select("a", "b", "regs_a", "regs_b", "n_a", "n_b"), run, "a long, b long, j double").where(F.col("j") >= least).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    with_b = pairs.join(rows.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(rows.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+def full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, elements): the whole shingle set of each node in ``ids``, as sorted 64-bit hashes."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    named = ids.join(nodes.select("node", "rep", "d1", "d2"), "node").join(rows, "rep")
 
     def run(batch: pa.RecordBatch, cache: WordHash) -> dict:
-        links, last, last_set = [], None, None
-        for a, x, y in zip(batch.column("a").to_pylist(), texts(batch, "text_a"), texts(batch, "text_b")):
-            if a != last:
-                last, last_set = a, shingle_set(x, width, cache)
-            other = shingle_set(y, width, cache)
-            shared = len(np.intersect1d(last_set, other, assume_unique=True))
-            links.append(100 * shared >= percent * (len(last_set) + len(other) - shared))
-        return {"a": batch.column("a"), "b": batch.column("b"), "linked": links}
+        out: dict[str, list] = {"node": [], "elements": []}
+        for node, d1, d2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "d1", "d2")), texts(batch)):
+            own = shingle_set(text, width, cache)
+            # a doc_id may have several texts
+            if digest(own) == (d1, d2):
+                out["node"].append(node)
+                out["elements"].append(own.tobytes())
+        return out
 
-    return map_batches(with_a.select("a", "b", "text_a", "text_b"), run, "a long, b long, linked boolean", setup=WordHash).where("linked").select("a", "b").distinct()
+    return map_batches(named.select("node", "d1", "d2", "text"), run, "node long, elements binary", setup=WordHash).groupBy("node").agg(F.first("elements").alias("elements"))
 
 
-def _star(opened: DataFrame, percent: int, priority: Column) -> DataFrame:
-    """Members outside a bucket's largest component against the member of it that comes first."""
-    centers = opened.where("label = main").groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct(priority.alias("p"), "rep")).alias("c"))
-    rest = opened.where("label <> main").select("key", "rep", "n")
-    pairs = rest.join(centers.select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("n_center")), "key").where(_may_reach("n", "n_center", percent))
-    return pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets; ``a`` may be in very many of them."""
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b")), "b")
+    with_a = salted_join(with_b, sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a")), "a", "inner", hot=hot_keys(pairs, "a"))
 
+    def run(batch: pa.RecordBatch) -> dict:
+        links = []
+        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+            own, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(own, other, assume_unique=True))
+            links.append(100 * shared >= percent * (len(own) + len(other) - shared))
+        return {"a": batch.column("a"), "b": batch.column("b"), "linked": links}
+
+    return map_batches(with_a.select("a", "b", "set_a", "set_b"), run, "a long, b long, linked boolean").where("linked").select("a", "b")
 
-def _apart(labels: DataFrame, passed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that came near each other: estimated alike in some pair, but not linked yet.
 
-    Components joined by such pairs form clusters. In a cluster the members outside its largest component are held against all its members on
-    full sets, in pieces of bounded size; a member yields one link per other component. None, if nothing is left to compare.
+def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels that share one of their rarest shingles and may reach the similarity.
+
+    Shingles are ordered by how many of ``sets`` have them. Two sets at the threshold share a shingle among the first n - ceil(n * percent / 100) + 1 of
+    either, and behind the first one that they share both must still have enough. Of a shingle's holders only those outside its most frequent label are paired.
     """
-    la, lb = labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
-    near = checkpoint(passed.join(la, "a").join(lb, "b").where("la <> lb").select("la", "lb").distinct())
-    if not near.limit(1).count():
-        return None
-    clusters = components(near, "la", "lb")
-    members = checkpoint(labels.join(clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster")), "label"))
-    sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("size"))
-    plan = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"))
-    pieces = plan.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / PIECE).cast("int").alias("n_left"), F.ceil(F.col("all") / PIECE).cast("int").alias("n_right"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    placed = members.join(pieces, "cluster").join(rows, "rep").select("cluster", "rep", "label", "main", "n_left", "n_right", "text")
-    outer = placed.where("label <> main").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n_left")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)))
-    inner = placed.withColumn("j", F.pmod(F.xxhash64("rep"), F.col("n_right")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)))
-    key, cols = ["cluster", "i", "j"], ["cluster", "i", "j", "rep", "label", "text"]
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"a": [], "b": []}
-        if len(left) and len(right):
-            cache = WordHash()
-
-            def sets(t: pa.Table) -> list[np.ndarray]:
-                return [shingle_set(x or b"", width, cache) for x in t.column("text").cast(pa.binary()).to_pylist()]
-
-            right = right.rename_columns(cols)
-            x, y = sets(left), sets(right)
-            x_label, y_label = left.column("label").to_numpy(), right.column("label").to_numpy()
-            x_rep, y_rep = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-            known, place = np.unique(np.concatenate(y), return_inverse=True)
-            n_y = np.array([len(s) for s in y])
-            starts = np.concatenate([[0], np.cumsum(n_y)[:-1]])
-            for own, label, rep in zip(x, x_label, x_rep):
-                flags = np.zeros(len(known) + 1, np.int64)
-                flags[np.searchsorted(known, own[np.isin(own, known, assume_unique=True)])] = 1
-                both = np.add.reduceat(flags[place], starts)
-                hit = np.flatnonzero((100 * both >= percent * (len(own) + n_y - both)) & (y_label != label))
-                _, first = np.unique(y_label[hit], return_index=True)
-                out["a"] += [rep] * len(first)
-                out["b"] += y_rep[hit[first]].tolist()
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-    other = inner.select(*[F.col(c).alias(f"other_{c}") for c in cols])
-    return outer.select(*cols).groupBy(*key).cogroup(other.groupBy(*[f"other_{c}" for c in key])).applyInArrow(compare, "a long, b long")
+    def spread(batch: pa.RecordBatch) -> dict:
+        rows = [signed(np.frombuffer(x, np.uint64)) for x in batch.column("elements").to_pylist()]
+        sizes = np.array([len(x) for x in rows], np.int64)
+        return {"node": np.repeat(batch.column("node").to_numpy(), sizes), "n": np.repeat(sizes, sizes), "g": np.concatenate(rows)}
+
+    elements = checkpoint(map_batches(sets, spread, "node long, n long, g long"))
+    common = elements.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = elements.join(common, "g", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "g")))
+    head = ordered.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    holders = checkpoint(head.join(labels, "node").select("g", "node", "n", "at", "label"))
+    discard(elements)
+    main = holders.groupBy("g", "label").agg(F.count("*").alias("size")).groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = checkpoint(holders.join(main, "g").drop("labels"))
+    discard(holders)
+    x = mixed.where("label <> main").select("g", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "label")])
+    y = mixed.select("g", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "label")])
+    left = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    enough = left * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
+    found = x.join(y, "g").where((F.col("label_x") != F.col("label_y")) & _may_reach("n_x", "n_y", percent) & enough)
+    return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -207,53 +197,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, least: f
 
     Documents are linked when 100 * intersection >= percent * union of their sets of ``width``-word shingles; a
     shorter text is one shingle. Null and wordless texts have the empty set and are linked with nothing. component_id is the smallest doc_id reachable, itself
-    included, and ``kept`` says that it is the row's own. Rows with one doc_id are one node: they share a component. A null doc_id is never
+    included, and ``kept`` says that it is the row's own. Rows with one doc_id are one document: those with words share a component. A null doc_id is never
     linked and stays. An empty table gives no rows; other columns are ignored.
     """
     sketched = checkpoint(sketch(docs, width))
     sets = sketched.where("n > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    reps = checkpoint(classes.select("d1", "d2", "rep", "n", "regs"))
-    bands = map_batches(reps.select("rep", "n", "regs"), _keys, "rep long, n long, keys array<long>").select("rep", "n", F.explode("keys").alias("key"))
+    nodes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    bands = map_batches(nodes.select("node", "n", "regs"), _keys, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     crowded = checkpoint(bands.join(shared, "key"))
-    # classes whose sets differ may share a representative only if one doc_id has several texts
-    by_rep = reps.dropDuplicates(["rep"])
-    popularity = crowded.groupBy("rep").agg(F.sum("members").alias("popular"))
-    rows = checkpoint(crowded.join(popularity, "rep").select("key", "rep", "n", "popular", F.col("rep").alias("label")))
-    links, passed, final = None, None, None
-    for turn in range(STARS):
-        # a bucket is open while it holds several components; the members outside its largest one are compared
-        groups = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
-        open_ = groups.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-        opened = checkpoint(rows.join(open_, "key"))
-        pairs = _star(opened, percent, F.col("popular") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn)))
-        alike = checkpoint(estimated(pairs if passed is None else pairs.join(passed, ["a", "b"], "left_anti"), by_rep, least))
-        passed = alike if passed is None else passed.unionByName(alike)
-        found = checkpoint(verified(alike, docs, width, percent))
-        links = found if links is None else links.unionByName(found)
-        final = components(links)
-        rows = checkpoint(opened.drop("main", "label").join(final, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "popular", F.coalesce("component", "rep").alias("label")))
-    labels = by_rep.join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("label"))
-    more = _apart(labels, passed, docs, width, percent)
-    if more is not None:
-        more = checkpoint(more)
+    popular = crowded.groupBy("node").agg(F.sum("members").alias("popular"))
+    centers = checkpoint(crowded.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node", "n")).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a")))
+    rest = crowded.join(centers, "key").where("node <> a")
+    pairs = checkpoint(rest.where(_may_reach("n", "n_a", percent)).select("a", F.col("node").alias("b")).distinct())
+    alike = checkpoint(estimated(pairs, nodes, least))
+    ends = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # a doc_id with several texts ties its nodes together
+    several = sets.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id")
+    own = sets.join(several, "doc_id").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node").distinct()
+    tied = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    links = checkpoint(verified(alike, checkpoint(full_sets(ends, nodes, docs, width)), percent).unionByName(tied))
+    final = components(links)
+
+    labels = rest.select("key", "node").join(final, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    undecided = labels.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_ = checkpoint(labels.join(undecided, "key").select("node", "label").distinct())
+    if open_.limit(1).count():
+        open_sets = checkpoint(full_sets(open_.select("node"), nodes, docs, width))
+        more = checkpoint(verified(checkpoint(rare_pairs(open_sets, open_, percent)), open_sets, percent))
         if more.limit(1).count():
             final = components(links.unionByName(more))
 
-    of_class = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
+    smallest = final.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = nodes.select("d1", "d2", "node", "rep").join(final, "node", "left").join(smallest, "component", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("of_class"))
     joined = sketched.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each component."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: one document of each component."""
     kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return named.join(kept.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").unionByName(named.where("_id IS NULL")).drop("_id")
+    rows = whole_rows(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(kept, "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL")).select("row.*")
 
 
 ORACLE_SQL = r"""

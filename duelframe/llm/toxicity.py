@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import CACHE_LIMIT, arrow_lists, checkpoint, map_batches, mix, split_by_hash
+from duelframe.llm.common import CACHE_LIMIT, arrow_lists, checkpoint, map_batches, mix, split_by_hash, whole_rows, with_row
 
 #: Most labelled documents that the fit reads (a sample by hash; each label is drawn up to half of it).
 SAMPLE = 6000
-#: Most features that pass the screen, and the least z-score of their document counts.
-FEATURES = 2048
+#: Least documents of a feature and least z-score of their counts; all features that reach them are weighted.
+LEAST_DOCUMENTS = 5
 LEAST_Z = 5.0
 DIMS = 1 << 20
 #: Words whose features are computed at a time.
@@ -194,12 +194,12 @@ def _document_counts(batches):
 
 
 def screen(rows: DataFrame, n_toxic: int, n_clean: int) -> list[int]:
-    """Features whose document counts differ most between the labels: at most FEATURES, by z-score."""
+    """Features whose document counts differ between the labels by ``LEAST_Z`` standard errors; there are at most DIMS."""
     counts = rows.mapInArrow(_document_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     pooled = (F.col("t") + F.col("c")) / float(n_toxic + n_clean)
     z = (F.col("t") / n_toxic - F.col("c") / n_clean) / F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    best = counts.where("t + c >= 5").withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(FEATURES)
-    return sorted(r["feature"] for r in best.collect())
+    found = counts.where(F.col("t") + F.col("c") >= LEAST_DOCUMENTS).where(F.abs(z) >= LEAST_Z).select("feature").toArrow()
+    return sorted(found.column("feature").to_pylist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> SentenceModel:
@@ -209,7 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     chosen = marked.where(draw < F.when(F.col("toxic") == 1, sample / 2 / max(counts.get(1, 0), 1)).otherwise(sample / 2 / max(counts.get(0, 0), 1)))
     # at most about ``sample`` ids, so they are sent to the documents instead of the documents to them
-    texts = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # rows that repeat a doc_id are drawn together; the limit holds them in every task before the shuffle
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    texts = checkpoint(rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("doc_id", "text", "toxic"))
     drawn = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not drawn.get(0) or not drawn.get(1):
         return SentenceModel.fit([], [], np.array(sorted(drawn)), 0.0)
@@ -228,22 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     return SentenceModel.fit(features, bags, np.array([toxic[i] for i in order]), counts.get(1, 0) / max(sum(counts.values()), 1))
 
 
-def score(docs: DataFrame, model: SentenceModel, *carry: Column) -> DataFrame:
-    """``carry`` columns, score, and the offending sentences (position and probability of those at 0.5 or more) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carry, F.col("text").alias("_text"))
-    names = rows.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
+    """(row, score, offending): every row as it is in the struct ``row``, and the offending sentences (position and probability of those at 0.5 or more)."""
+    rows = whole_rows(docs)
 
     def run(batch: pa.RecordBatch, words: WordWeights) -> dict:
         scores, spots = [], []
-        for text in batch.column("_text").cast(pa.binary()).to_pylist():
-            s, p = shared.value.score(text or b"", words)
+        for text in batch.column("row").field("text").cast(pa.binary()).to_pylist():
+            s, p = model.score(text or b"", words)
             scores.append(s)
             spots.append([{"sentence": int(i), "p": float(p[i])} for i in np.flatnonzero(p >= 0.5)])
-        return {n: batch.column(n) for n in names} | {"score": scores, "offending": spots}
+        return {"row": batch.column("row"), "score": scores, "offending": spots}
 
-    return map_batches(rows, run, f"{schema}, score double, offending array<struct<sentence:int,p:double>>", setup=lambda: WordWeights(shared.value.weights))
+    return map_batches(rows, run, with_row(rows, "score double, offending array<struct<sentence:int,p:double>>"), setup=lambda: WordWeights(model.weights))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -253,7 +253,5 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     or with labels of one kind, every score is that kind's. Repeated rows stay, an empty table gives no rows, other columns are ignored.
     """
     held_out = F.coalesce(split_by_hash("doc_id", 5) == 0, F.lit(False))
-    model = fit(docs, labels, ~held_out, sample)
-    return score(docs, model, F.col("doc_id"), held_out.alias("held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(
-        "doc_id", "held_out", "score", "predicted", "offending"
-    )
+    found = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels, ~held_out, sample)).select("row.doc_id", "score", "offending")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")

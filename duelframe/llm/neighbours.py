@@ -42,10 +42,24 @@ def rotate(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
 
 def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     """Codes of the ``probes`` nearest signed axes of each row, nearest first (axis a: a, opposite: a + d)."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     turned = rotate(x / np.linalg.norm(x, axis=1, keepdims=True), table)
     return np.argsort(-np.concatenate([turned, -turned], axis=1), axis=1, kind="stable")[:, :probes]
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to one vector; where squares leave the range of doubles, of scaled differences."""
+    with np.errstate(over="ignore"):
+        plain = np.sqrt(((x - q) ** 2).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(plain) | (plain < 1e-150))
+    for i in odd:
+        d = np.abs(x[i] / 2 - q / 2)
+        top = d.max()
+        with np.errstate(over="ignore"):
+            plain[i] = 2 * (top * np.sqrt(((d / top) ** 2).sum())) if top else 0.0
+    return plain
+
+
 def valid(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(id, v, size): vectors with an id whose components are all finite and not all zero."""
     v = F.col(col).cast("array<double>")
@@ -106,16 +120,21 @@ def _meet(index: DataFrame, queries: DataFrame, k: int, piece_rows: int, piece_q
             ids, asked = a.column("id").to_numpy(), b.column("id").to_numpy()
             x = a.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
             q = b.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
-            norms = (x * x).sum(axis=1)
+            # the rough pass works on values below 1, so that nothing overflows; its rounding grows with the norms, not with the distances
+            unit = max(float(np.abs(x).max()), float(np.abs(q).max()))
+            small = x / unit
+            norms = (small * small).sum(axis=1)
             for at in range(0, len(q), 256):
-                block = q[at : at + 256]
-                rough = norms - 2 * block @ x.T + (block * block).sum(axis=1)[:, None]
+                block = q[at : at + 256] / unit
+                own = (block * block).sum(axis=1)
+                rough = norms - 2 * block @ small.T + own[:, None]
                 for i, row in enumerate(rough):
                     row = np.where(ids == asked[at + i], np.inf, row)
                     cut = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
                     # every row within rounding of the cut is measured exactly, so ties fall to the smaller id
-                    near = np.flatnonzero(row <= cut + 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else np.isfinite(row))
-                    exact = np.sqrt(((x[near] - block[i]) ** 2).sum(axis=1))
+                    slack = 1e-13 * size * (own[i] + norms)
+                    near = np.flatnonzero(row - slack <= cut + slack.max() if np.isfinite(cut) else np.isfinite(row))
+                    exact = distances(x[near], q[at + i])
                     for j in np.lexsort((ids[near], exact))[:k]:
                         out["query_id"].append(asked[at + i])
                         out["vec_id"].append(ids[near[j]])

@@ -37,6 +37,22 @@ def test_neighbours_recall_ties_and_edges(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in pieces} == {(q, r, v) for q, rows in got.items() if q % 20 == 0 for r, v, _ in rows}
 
 
+def test_neighbours_of_large_and_of_close_vectors(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=8) * 1e6
+    x = np.vstack([base + rnd.normal(size=8) * 1e-4 for _ in range(60)] + [rnd.normal(size=8) * 1e200 for _ in range(5)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id IN (0, 10, 61)"), probes=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 10):
+        d = np.sqrt(((x[:60] - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [v for _, v, _ in sorted(got[q])] == np.lexsort((np.arange(60), d))[:10].tolist()
+        assert all(s == d[v] for _, v, s in got[q])
+    assert all(np.isfinite(s) for _, _, s in got[61]) and len(got[61]) == 10
+
+
 def test_contract_columns(spark):
     want = {
         "op1_": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Equal values up to which bootstrap counts are drawn by inversion.
+EXACT = 60
+
 
 def ratio(test: Column, over: Column | None = None) -> Column:
     """Share of rows that pass, over those where ``over`` holds; 0 if there are none."""
@@ -47,19 +50,29 @@ def misaligned(a: DataFrame, b: DataFrame, key: str = "case_id") -> DataFrame:
 def bootstrap_mean(rows: DataFrame, value: str, iterations: int = 2000, seed: int = 73, level: float = 0.95) -> DataFrame:
     """Percentile bootstrap of a mean by Poisson resampling.
 
-    Every row draws its weight in every iteration from a hash of row, iteration and seed, so iterations are partial sums and
-    no sample is collected; equal rows draw alike and are therefore counted first.
+    A value that n rows have is drawn Poisson(n) times in every iteration, once per (value, iteration): by inverting the distribution for up to ``EXACT`` rows,
+    by the normal approximation with continuity correction beyond. Draws are hashes of value, iteration and seed, so iterations are partial
+    sums and no sample is collected.
     """
+    n = F.col("n").cast("double")
     counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    units = counted.select("v", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    draws = units.select("v", "copy", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("i"))
-    u = F.pmod(F.xxhash64("v", "copy", "i", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 8):
-        total += term
-        steps = steps + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    means = draws.withColumn("w", steps).groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w").cast("double")).alias("m"))
+    draws = counted.select("v", "n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("i"))
+
+    def uniform(salt: int) -> Column:
+        return (F.pmod(F.xxhash64("v", "i", F.lit(seed + salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    # cumulative probabilities of 0, 1, 2, ... events, far enough to hold all but 1e-12 of EXACT expected ones
+    start = F.struct(F.lit(0.0).alias("below"), F.exp(-n).alias("p"), F.lit(0).alias("k"), F.lit(0).alias("drawn"))
+
+    def step(state: Column, k: Column) -> Column:
+        below = state["below"] + state["p"]
+        return F.struct(below.alias("below"), (state["p"] * n / (k + 1)).alias("p"), (k + 1).alias("k"), F.when(F.col("u") >= below, k + 1).otherwise(state["drawn"]).alias("drawn"))
+
+    exact = F.aggregate(F.sequence(F.lit(0), (2 * n + 30).cast("int")), start, step, lambda s: s["drawn"].cast("double"))
+    normal = F.sqrt(-2 * F.log(F.col("u"))) * F.cos(2 * 3.141592653589793 * F.col("u2"))
+    weight = F.when(n <= EXACT, exact).otherwise(F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * normal)))
+    weighted = draws.withColumn("u", uniform(0)).withColumn("u2", uniform(1)).withColumn("w", weight)
+    means = weighted.groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     ci = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("p"))
     centre = rows.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -159,6 +159,11 @@ def sampled(rows: DataFrame, key: str, ends: int, step: int, offset: int) -> Dat
     return placed.where((F.col("position") <= ends) | (F.col("position") > F.col("n") - ends) | (F.col("position") % step == offset)).drop("_p", "_at", "_h", "_before", "n")
 
 
-def content_digest(rows: DataFrame, key: str, counted: str) -> DataFrame:
-    """Count and SHA-256 of the ordered ids of one scope, joined by line ends."""
-    return rows.agg(F.count("*").alias(counted), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(key))), 256).alias("digest"))
+def content_digest(rows: DataFrame, key: str, counted: str, digits: int = 3) -> DataFrame:
+    """Count and SHA-256 of a scope's ids in two levels: ids are dealt to 16 ** ``digits`` buckets by the beginning of their MD5, the
+    ordered ids of each are hashed, and then the ordered bucket digests; so a task holds one bucket's ids only."""
+    buckets = rows.groupBy(F.substring(F.md5(key), 1, digits).alias("bucket")).agg(
+        F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(key))), 256).alias("digest")
+    )
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "digest")))
+    return buckets.agg(F.sum("n").cast("long").alias(counted), F.sha2(F.concat_ws("\n", lines), 256).alias("digest"))

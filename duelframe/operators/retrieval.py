@@ -28,24 +28,35 @@ def lexical_overlap(question: Column, text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """(qid, rank, id, score): the best ``k`` documents of every query, ties by id.
+    """(qid, rank, id, score): the best ``k`` documents of every query, ties by id; documents without an asked term score 0 and fill up what is missing to ``k``.
 
     Statistics cover all of ``docs``. A term in more than half of them would weigh negatively and gets EPSILON times the mean weight
-    instead. Only postings of asked terms are joined; document lengths and frequencies come from the same token counts.
+    instead. Document frequencies, the number of documents and their mean length come from one partial aggregation by term; postings are made
+    of asked terms only, which are sent to the documents as long as they are few.
     """
     lists = docs.select(F.col(id_col).alias("id"), tokens(F.col("text")).alias("toks"))
-    shape = lists.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    postings = lists.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(shape)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # the row without a term stands for the document itself
+    terms = lists.select(F.size("toks").alias("dl"), F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    shape = counts.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    raw = counts.where("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(shape)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
     weights = asked.join(raw, "term").crossJoin(F.broadcast(mean)).select(
         "qid", "term", "avgdl", (F.col("qn") * F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))).alias("weight")
     )
+    wanted = asked.select("term").distinct()
+    postings = lists.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(weights, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    # a query with m < k matches lacks k - m documents, and its matches are at most m of the first 2 k
+    short = queries.select("qid").distinct().join(best.where(F.col("rank") == k), "qid", "left_anti")
+    first = docs.select(F.col(id_col).alias("id")).orderBy("id").limit(2 * k)
+    rest = short.crossJoin(F.broadcast(first)).join(best.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    filled = best.join(short, "qid", "left_semi").select("qid", "id", "score").unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(short, "qid", "left_anti").select("qid", "rank", "id", "score").unionByName(filled.select("qid", "rank", "id", "score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

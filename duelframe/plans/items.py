@@ -118,14 +118,14 @@ def deck_profile(spark, sf_dir):
     return q.deck_opponents(stats.directional(stats.matchups(src.valid(src.matches(spark, sf_dir)))))
 
 
-@sql("r112_top_decks", "SELECT deck_signature, games, clean_win_rate AS win_rate FROM decks ORDER BY games DESC, deck_signature LIMIT 15")
+@sql("r112_top_decks", "SELECT deck_signature, games, clean_win_rate AS win_rate FROM decks ORDER BY games DESC, deck_signature LIMIT 150")
 def top_decks(spark, sf_dir):
-    return q.top_decks(stats.deck_stats(_sides(spark, sf_dir)), 15)
+    return q.top_decks(stats.deck_stats(_sides(spark, sf_dir)))
 
 
-@sql("r113_item_variants", "SELECT item, deck_signature, games, rank FROM (SELECT item, deck_signature, games, row_number() OVER (PARTITION BY item ORDER BY games DESC, deck_signature)::INT AS rank FROM (SELECT unnest(from_json(deck_signature, '[\"VARCHAR\"]')) AS item, deck_signature, games FROM (SELECT * FROM decks ORDER BY games DESC, deck_signature LIMIT 15))) WHERE rank <= 4")
+@sql("r113_item_variants", "SELECT item, deck_signature, games, rank FROM (SELECT item, deck_signature, games, row_number() OVER (PARTITION BY item ORDER BY games DESC, deck_signature)::INT AS rank FROM (SELECT unnest(from_json(deck_signature, '[\"VARCHAR\"]')) AS item, deck_signature, games FROM (SELECT * FROM decks ORDER BY games DESC, deck_signature LIMIT 150))) WHERE rank <= 10")
 def item_variants(spark, sf_dir):
-    return q.item_variants(stats.deck_stats(_sides(spark, sf_dir)), 15, 4)
+    return q.item_variants(stats.deck_stats(_sides(spark, sf_dir)))
 
 
 @sql("r164_compare_items", "SELECT a.item AS item_a, b.item AS item_b, round(a.usage_rate - b.usage_rate, 6) AS usage_rate_diff, round(a.clean_win_rate - b.clean_win_rate, 6) AS clean_win_rate_diff, round(a.net_win_rate - b.net_win_rate, 6) AS net_win_rate_diff, round(a.rating - b.rating, 6) AS rating_diff, (a.appearances - b.appearances)::BIGINT AS appearances_diff FROM item_stats a, item_stats b WHERE a.item = 'PROMO' AND b.item = 'SMALL'")
@@ -154,12 +154,12 @@ def item_top_decks(spark, sf_dir):
     return q.item_variants(stats.deck_stats(_sides(spark, sf_dir)), None, 20)
 
 
-@sql("r49_matchup_decks", "SELECT m.deck_a, m.deck_b, m.games, a.games AS games_a, b.games AS games_b FROM matchups m JOIN decks a ON a.deck_signature = m.deck_a JOIN decks b ON b.deck_signature = m.deck_b ORDER BY m.games DESC, m.deck_a, m.deck_b LIMIT 200")
+@sql("r49_matchup_decks", "SELECT m.deck_a, m.deck_b, m.games, a.games AS games_a, b.games AS games_b FROM matchups m JOIN decks a ON a.deck_signature = m.deck_a JOIN decks b ON b.deck_signature = m.deck_b ORDER BY m.games DESC, m.deck_a, m.deck_b LIMIT 20000")
 def matchup_decks(spark, sf_dir):
     rows = src.valid(src.matches(spark, sf_dir))
     decks = stats.deck_stats(src.sides(rows)).select("deck_signature", "games")
     a, b = decks.toDF("deck_a", "games_a"), decks.toDF("deck_b", "games_b")
-    return stats.matchups(rows).join(a, "deck_a").join(b, "deck_b").select("deck_a", "deck_b", "games", "games_a", "games_b").orderBy(F.desc("games"), "deck_a", "deck_b").limit(200)
+    return stats.matchups(rows).join(a, "deck_a").join(b, "deck_b").select("deck_a", "deck_b", "games", "games_a", "games_b").orderBy(F.desc("games"), "deck_a", "deck_b").limit(20_000)
 
 
 @sql("r81_evidence_pairs", "SELECT item_a, item_b, count(*) AS games, sum(w)::BIGINT AS wins, sum(w) * 1.0::DOUBLE / count(*) AS win_share FROM (SELECT x.item AS item_a, y.item AS item_b, x.w FROM (SELECT match_id, side, w, unnest(deck) AS item FROM sides) x JOIN (SELECT match_id, side, unnest(deck) AS item FROM sides) y USING (match_id, side) WHERE x.item < y.item) GROUP BY ALL")
@@ -200,10 +200,10 @@ def offset_row(spark, sf_dir):
     return src.valid(src.matches(spark, sf_dir)).select("match_id", "match_time").orderBy("match_id").offset(17).limit(1)
 
 
-@sql("r139_scope_digest", "SELECT count(*) AS matches, sha256(string_agg(match_id, chr(10) ORDER BY match_id)) AS digest FROM valid WHERE cust < 40")
+@sql("r139_scope_digest", "SELECT sum(n)::BIGINT AS matches, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS digest FROM (SELECT substr(md5(match_id), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(match_id, chr(10) ORDER BY match_id)) AS digest FROM valid GROUP BY 1)")
 def digest(spark, sf_dir):
-    """Content digest of a scope: the hash of its ordered ids."""
-    return q.content_digest(src.valid(src.matches(spark, sf_dir)).where("cust < 40"), "match_id", "matches")
+    """Content digest of all valid matches: the hash of the ordered digests of their buckets."""
+    return q.content_digest(src.valid(src.matches(spark, sf_dir)), "match_id", "matches")
 
 
 @sql("r86_month_buckets", "SELECT month, count(*) AS matches, month = (SELECT max(month) FROM (SELECT substr(match_time, 1, 6) AS month, count(*) AS c FROM valid GROUP BY 1) WHERE c = (SELECT max(c) FROM (SELECT count(*) AS c FROM valid GROUP BY substr(match_time, 1, 6)))) AS busiest FROM (SELECT substr(match_time, 1, 6) AS month FROM valid) GROUP BY month")

@@ -126,10 +126,10 @@ def period_delta(spark, sf_dir):
     return _deltas(spark, sf_dir)
 
 
-@sql("r115_delta_order", "SELECT current_scope, item, significant, usage_delta FROM deltas ORDER BY significant DESC, abs(usage_delta) DESC, abs(clean_win_delta) DESC, current_scope, item LIMIT 30")
+@sql("r115_delta_order", "SELECT current_scope, item, significant, usage_delta FROM deltas ORDER BY significant DESC, abs(usage_delta) DESC, abs(clean_win_delta) DESC, current_scope, item LIMIT 300")
 def delta_order(spark, sf_dir):
     rows = _deltas(spark, sf_dir)
-    return rows.orderBy(F.desc("significant"), F.desc(F.abs("usage_delta")), F.desc(F.abs("clean_win_delta")), "current_scope", "item").limit(30).select("current_scope", "item", "significant", "usage_delta")
+    return rows.orderBy(F.desc("significant"), F.desc(F.abs("usage_delta")), F.desc(F.abs("clean_win_delta")), "current_scope", "item").limit(300).select("current_scope", "item", "significant", "usage_delta")
 
 
 @sql("r174_dataset_catalog", "SELECT w || '_' || lv AS dataset_scope, coalesce(matches, 0) AS matches, coalesce(matches, 0) > 0 AS available FROM windows CROSS JOIN levels LEFT JOIN (SELECT dataset_scope, count(*) AS matches FROM members GROUP BY 1) c ON c.dataset_scope = w || '_' || lv")

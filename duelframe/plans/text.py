@@ -69,7 +69,7 @@ def broken_percent(spark, sf_dir):
 @register("r128_citations", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS unknown FROM events")
 def citations(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
-    text = F.concat(F.lit("see snapshot:a1 and "), F.when(F.col("event_id") % 5 == 0, "official:zz").otherwise("official:b2"))
+    text = F.concat(F.lit("see snapshot:a1 and "), F.when(F.col("event_id") % 5 == 0, "Supercell-x:zz").otherwise("official:b2"))
     allowed = F.array(F.lit("snapshot:a1"), F.lit("official:b2"))
     return events.select("event_id", F.size(tx.unknown_citations(text, allowed)).alias("unknown"))
 

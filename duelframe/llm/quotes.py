@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import checkpoint
+
 #: Turns that are numbered together; a conversation of any length is dealt out by such blocks.
 BLOCK = 4096
 # Fixed value: leading quote markers.
@@ -35,49 +37,52 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
 
 
-def _passages(lines: Column) -> Column:
-    """Array of struct(level, text): quoted runs of equal level, in order."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
-
-    def add(runs: Column, line: Column) -> Column:
-        last = F.element_at(runs, -1)
-        grown = F.concat(
-            F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))),
-            F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))),
-        )
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["level"] == line["level"]), grown).otherwise(F.concat(runs, F.array(line)))
-
-    return F.filter(F.aggregate(lines, empty, add), lambda r: (r["level"] > 0) & (normal(r["body"]) != ""))
-
-
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, depth, passages and a key of each message; null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """conv_id, turn, role, key (of all three and the text), body, depth and passages of each message; null text counts as empty.
+
+    ``passages`` is an array of struct(level, body): runs of lines of one level above 0, in order. Lines, starts of runs and runs are
+    columns of their own, each made from the last, so the work is linear in a message's lines; the result is written, as a filter on it would
+    otherwise be pushed below them and have the text split again for every line.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
-        F.xxhash64("conv_id", "turn", "role", "text").alias("key"), text.alias("text"), text.contains(">").alias("_quoting"),
+        F.xxhash64("conv_id", "turn", "role", "text").alias("key"), text.alias("text"),
     )
-    lines = _lines(F.col("text"))
-    own = F.concat_ws("\n", F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]))
-    # texts without a mark, nearly all of them, skip the parse
-    return rows.select(
+    lines = rows.withColumn("lines", _lines(F.col("text")))
+    size = F.size("lines")
+    levels = lines.withColumn("levels", F.transform("lines", lambda x: x["level"]))
+    begins = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("levels", i) != F.get("levels", i - 1)))
+    starts = levels.withColumn("starts", begins)
+
+    def run(at: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("starts", k + 1), size)
+        inside = F.slice("lines", at + 1, stop - at)
+        return F.struct(F.get("levels", at).alias("level"), F.array_join(F.transform(inside, lambda x: x["body"]), "\n").alias("body"))
+
+    runs = starts.withColumn("runs", F.transform("starts", run))
+    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
+    depth = F.coalesce(F.array_max("levels"), F.lit(0))
+    return checkpoint(runs.select(
         "conv_id", "turn", "role", "key",
-        F.when(F.col("_quoting"), F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))).otherwise(F.col("text")).alias("body"),
-        F.when(F.col("_quoting"), F.coalesce(F.array_max(F.transform(lines, lambda x: x["level"])), F.lit(0))).otherwise(F.lit(0)).alias("depth"),
-        F.when(F.col("_quoting"), _passages(lines)).alias("passages"),
-    )
+        F.when(depth > 0, F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))).otherwise(F.col("text")).alias("body"), depth.alias("depth"),
+        F.filter("runs", lambda r: (r["level"] > 0) & (normal(r["body"]) != "")).alias("passages"),
+    ))
+
+
+NAMES = ("conv_id", "turn", "role", "key")
 
 
 def link(parsed: DataFrame) -> DataFrame:
-    """(key, passage, level, source_turn): the latest earlier message of the conversation that each passage quotes, null if none does.
+    """(conv_id, turn, role, key, passage, level, source_turn): the latest earlier message of the conversation that each passage quotes, null if none does.
 
     Originals and quotes of one text meet in a window by turn, so the work is linear however often a text recurs.
     """
     quotes = (
         parsed.where(F.size("passages") > 0)
-        .select("key", "conv_id", "turn", F.posexplode("passages").alias("passage", "p"))
+        .select(*NAMES, F.posexplode("passages").alias("passage", "p"))
         .distinct()
-        .select("key", "conv_id", "turn", "passage", F.col("p.level").alias("level"), F.xxhash64(normal(F.col("p.body"))).alias("text"))
+        .select(*NAMES, "passage", F.col("p.level").alias("level"), F.xxhash64(normal(F.col("p.body"))).alias("text"))
     )
     wanted = quotes.select("conv_id", "text").distinct()
     units = F.array_distinct(F.concat(F.array(F.col("body")), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")))
@@ -89,7 +94,7 @@ def link(parsed: DataFrame) -> DataFrame:
     both = quotes.withColumn("from", F.lit(None).cast("long")).unionByName(originals.withColumn("from", F.col("turn")), allowMissingColumns=True)
     # RANGE up to turn - 1: a message does not quote its own turn
     before = Window.partitionBy("conv_id", "text").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("source_turn", F.max("from").over(before)).where("key IS NOT NULL").select("key", "passage", "level", "source_turn")
+    return both.withColumn("source_turn", F.max("from").over(before)).where("key IS NOT NULL").select(*NAMES, "passage", "level", "source_turn")
 
 
 def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -101,7 +106,7 @@ def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     parsed = parse(messages)
     links = link(parsed)
-    per_message = links.groupBy("key").agg(
+    per_message = links.groupBy(*[F.col(c).alias(f"of_{c}") for c in NAMES]).agg(
         F.count("*").alias("n_quotes"), F.count("source_turn").alias("n_linked"),
         F.min_by("source_turn", F.when((F.col("level") == 1) & F.col("source_turn").isNotNull(), F.col("passage"))).alias("quoted"),
     )
@@ -116,7 +121,10 @@ def conversations(messages: DataFrame, block: int = BLOCK) -> DataFrame:
         .select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.max("_last").over(earlier).alias("_last"))
     )
     placed = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b")))
-    return placed.join(per_message, "key", "left").select(
+    same = F.lit(True)
+    for c in NAMES:
+        same = same & (F.col(c) == F.col(f"of_{c}") if c == "key" else F.col(c).eqNullSafe(F.col(f"of_{c}")))
+    return placed.join(per_message, same, "left").select(
         "conv_id", "turn", "role",
         (F.col("_before") + F.col("_at")).alias("position"),
         F.coalesce("quoted", "_prev", "_last").alias("reply_to"),

@@ -401,6 +401,105 @@ CHAT = [
 ]
 
 
+def quoting_chat(n_convs=150, turns=20):
+    """Mail-like conversations: bodies of lines and paragraphs, quotes of bodies, paragraphs, lines and quoting messages, at several levels, some without an original."""
+    r = random.Random(21)
+    rows = []
+    for c in range(n_convs):
+        bodies = []
+        for t in range(turns):
+            own = "\n\n".join("\n".join(prose(r.randint(2, 6), r.randrange(10**6)).replace(" ", r.choice([" ", "  "])) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3)))
+            parts = []
+            for _ in range(r.randint(0, 3) if t else 0):
+                source = r.choice(bodies) if r.random() < 0.8 else prose(5, r.randrange(10**6))
+                pick = r.choice([source, r.choice(source.split("\n\n")), r.choice(source.split("\n"))])
+                mark = r.choice([">", "> ", "> > ", ">>", " > "])
+                parts.append("\n".join(mark + (x.upper() if r.random() < 0.3 else x) for x in pick.split("\n")))
+            parts.insert(r.randint(0, len(parts)), own)
+            bodies.append(own)
+            rows.append((c, t, "user" if t % 2 else "assistant", r.choice(["\n", "\r\n", "\n\n"]).join(parts)))
+    return rows
+
+
+def test_quote_links_equal_the_sql_on_quoting_conversations(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = quoting_chat()
+    frame_ = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", frame_)
+    names = ["conv_id", "turn", "role", "position", "reply_to", "body", "depth", "n_quotes", "n_linked"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({quotes.ORACLE_SQL}) ORDER BY conv_id, turn").fetchall()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = [tuple(r[n] for n in names) for r in quotes.conversations(df).orderBy("conv_id", "turn").collect()]
+    assert len(got) == 3000 and sum(r[8] for r in got) > 1500 and max(r[6] for r in got) >= 2
+    assert got == want
+
+
+def test_long_quotes_take_linear_time(spark):
+    body = "\n".join(prose(4, i) for i in range(30_000))
+    rows = [(1, 0, "user", body), (1, 1, "assistant", "\n".join("> " + x for x in body.split("\n")) + "\nagreed"), (1, 2, "user", "> agreed\n" * 20_000)]
+    got = {r.turn: r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].body, got[1].n_linked, got[1].reply_to, got[2].n_quotes, got[2].n_linked) == ("agreed", 1, 0, 1, 0)
+
+
+def test_columns_with_names_of_our_own_stay(spark):
+    """Columns that carry the operators' working names come through the pipeline's stages untouched."""
+    names = ["score", "lang_pred", "row", "id", "_id", "spans", "keep", "left_over", "at", "copies", "copy", "size", "taken", "node", "component_id", "kept"]
+    rows = [(i, prose(60, i), "en", "ab"[i % 2], 9, *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (language.accepted, near_dedup.deduplicated, passages.cleaned_documents, mixing.mixed_documents):
+        out = stage(df)
+        assert out.columns == df.columns
+        kept = {r.doc_id: r for r in out.collect()}
+        assert kept and all(r[n] == f"{n}{i}" for i, r in kept.items() for n in names), stage
+    for query in (lambda d: near_dedup.near_duplicates(d, 2), passages.without_repeats, mixing.mix_sources, language.identify, media.document_media):
+        assert query(df).count() == 12
+
+
+def test_samples_stay_bounded_under_repeated_ids(spark):
+    rows = [(7, prose(10, 1), "en", "s", 0)] * 300 + [(None, prose(10, i), "fr", "s", 0) for i in range(50)]
+    got = Counter(r.lang for r in language.training_rows(frame(spark, rows), F.lit(False), 20).collect())
+    assert got["en"] <= 20 and got["fr"] <= 20
+
+
+def test_texts_under_one_doc_id_are_all_linked(spark):
+    """A doc_id with two texts ties the near copies of both together."""
+    x, y = prose(80, 31), prose(80, 32)
+    rows = [(1, x + " end"), (2, x), (2, y), (3, y + " end"), (9, prose(80, 33))]
+    got = [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), 2).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (2, 1), (3, 1), (9, 9)]
+
+
+def test_links_between_members_that_no_centre_has(spark):
+    """Two families that share buckets: links inside the smaller one and between edited members are those of brute force."""
+    r, rows = random.Random(3), []
+    base = prose(150, 400).split()
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.choice([6, 10, 14, 18])):
+            w[r.randrange(len(w))] = f"own{i}x{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 2)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def test_edited_passages_are_found(spark):
+    """Recall over passages of 80 words of which three are changed (five-word similarity 0.7 to 0.85, of whole windows of 50 at times above 0.8)."""
+    r, rows = random.Random(12), []
+    for i in range(60):
+        own = prose(80, 5000 + i).split()
+        rows.append((i, f"{prose(40, 6000 + i)} {' '.join(own)} {prose(30, 7000 + i)}"))
+        for at in r.sample(range(0, 12), 2):
+            own[at] = "edit"
+        rows.append((100 + i, f"{prose(25, 8000 + i)} {' '.join(own)} {prose(45, 9000 + i)}"))
+    got = {x.doc_id: x for x in passages.without_repeats(frame(spark, rows)).collect()}
+    found = [got[100 + i].removed_words >= 60 and got[100 + i].component_id == i for i in range(60)]
+    assert sum(found) >= 0.96 * 60
+
+
 def test_quotes_are_linked_to_their_messages(spark):
     df = spark.createDataFrame([(*r, 1) for r in CHAT], "conv_id long, turn long, role string, text string, extra int")
     rows = quotes.conversations(df).collect()

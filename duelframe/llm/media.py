@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import map_batches, salted_join
+from duelframe.llm.common import map_batches, salted_join, with_row
 
 UNIT = 64
 RATE = 8000
@@ -111,17 +111,15 @@ def sequence(html: str | None) -> list[dict]:
 
 
 def interleave(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
-    """(id, items): the sequence of each page."""
-    return map_batches(
-        pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")),
-        lambda b: {"id": b.column("id"), "items": [sequence(x) for x in b.column("html").to_pylist()]},
-        f"id long, items {SEQUENCE}",
-    ).withColumnRenamed("id", id_col)
+    """(id, items): the sequence of each page; columns of ``pages`` other than the html stay."""
+    kept = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row"), F.col(html_col).alias("html"))
+    found = map_batches(kept, lambda b: {"row": b.column("row"), "items": [sequence(x) for x in b.column("html").to_pylist()]}, with_row(kept, f"items {SEQUENCE}"))
+    return found.select("row.*", "items")
 
 
-def references(sequences: DataFrame, id_col: str) -> DataFrame:
-    """(id, position, ref, caption): media references of each sequence, in place."""
-    return sequences.select(id_col, F.explode("items").alias("item")).where("item.kind = 'media'").select(id_col, "item.position", "item.ref", "item.caption")
+def references(sequences: DataFrame, *ids: str) -> DataFrame:
+    """(ids, position, ref, caption): media references of each sequence, in place."""
+    return sequences.select(*ids, F.explode("items").alias("item")).where("item.kind = 'media'").select(*ids, "item.position", "item.ref", "item.caption")
 
 
 def store(payloads: DataFrame) -> DataFrame:
@@ -163,15 +161,22 @@ def resolve(refs: DataFrame, by_digest: DataFrame) -> DataFrame:
     return salted_join(refs, by_digest.withColumnRenamed("digest", "ref"), "ref")
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML data."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
-    """A page per document: its length as text, then one media element that names the document's payload."""
-    digest = F.sha2(padded(F.col("text")), 256)
-    n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("string")
+    """(doc_id, n_bytes, html): a page per document, its text as a paragraph and then a figure that names the document's payload, with the source as caption."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     return docs.select(
-        "doc_id",
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
         F.concat(
-            F.lit("<article><p>text of "), n_bytes, F.lit(' bytes</p><figure><img src="sha256:'), digest,
-            F.lit('"><figcaption>'), n_bytes, F.lit("</figcaption></figure></article>"),
+            F.lit("<article><p>"), escaped(text), F.lit('</p><figure><img src="sha256:'), F.sha2(padded(F.col("text")), 256),
+            F.lit('"><figcaption>'), escaped(source), F.lit("</figcaption></figure></article>"),
         ).alias("html"),
     )
 
@@ -183,6 +188,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     as empty, an empty one as 64 zero bytes. Equal texts share one stored form, so all their values agree. Repeated rows
     stay; an empty table gives no rows; other columns are ignored.
     """
-    refs = references(interleave(document_pages(docs), "doc_id"), "doc_id")
+    refs = references(interleave(document_pages(docs), "doc_id"), "doc_id", "n_bytes")
     stored = features(store(docs.select(padded(F.col("text")).alias("payload"))))
-    return resolve(refs.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "ref"), stored).drop("ref")
+    return resolve(refs.select("doc_id", "n_bytes", "ref"), stored).drop("ref")

@@ -339,6 +339,25 @@ def test_interleaved_sequences_keep_order_and_captions(spark):
     assert {(r.ref, r.size) for r in found} == {("00", 5), ("u", None)}
 
 
+def test_document_pages_hold_text_then_media(spark):
+    """Items of whole tables are in the page's order: the text's words, then one reference with its caption."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r["items"] for r in media.interleave(media.document_pages(docs), "doc_id").collect()}
+    for d in docs.collect():
+        words = " ".join((d.text or "").split())
+        assert [(i.kind, i.text, i.caption) for i in rows[d.doc_id]] == ([("text", words, None)] if words else []) + [("media", None, d.source)]
+        assert [i.position for i in rows[d.doc_id]] == list(range(len(rows[d.doc_id])))
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for p in media.interleave(pages, "page_id").join(pages.select("page_id", "html"), "page_id").collect():
+        at = -1
+        bare = " ".join(__import__("html").unescape(p.html).split())
+        for item in (i for i in p["items"] if i.kind == "text"):
+            found = bare.find(item.text.split()[0], at + 1)
+            assert found > at
+            at = found
+        assert not any("track(" in (i.text or "") for i in p["items"])
+
+
 def water_fill(sizes, weights, total, most=2):
     capped, target = set(), {}
     while True:

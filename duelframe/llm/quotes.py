@@ -49,7 +49,8 @@ def parse(messages: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
         F.xxhash64("conv_id", "turn", "role", "text").alias("key"), text.alias("text"),
     )
-    lines = rows.withColumn("lines", _lines(F.col("text")))
+    # a text without a mark has no quoted line, so its lines stay null
+    lines = rows.withColumn("lines", F.when(F.contains("text", F.lit(">")), _lines(F.col("text"))))
     size = F.size("lines")
     levels = lines.withColumn("levels", F.transform("lines", lambda x: x["level"]))
     begins = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("levels", i) != F.get("levels", i - 1)))

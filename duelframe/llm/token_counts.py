@@ -25,7 +25,7 @@ from duelframe.llm.common import checkpoint, map_batches
 
 CHUNK_CHARS = 1 << 16
 #: Transitions that a task keeps; beyond that the transducer is compiled anew as needed.
-MOVES = 400_000
+MOVES = 1_000_000
 SYNC = regex.compile(r" (?<=\S )(?=\S)")
 _BLANK = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")

@@ -70,18 +70,24 @@ class RuleSet:
             ]),
             lambda x: x["score"].isNotNull(),
         )
-        ranked = F.reverse(F.array_sort(found))
-        top, second = F.try_element_at(ranked, F.lit(1)), F.try_element_at(ranked, F.lit(2))
-        margin = top["score"] - F.coalesce(second["score"], F.lit(0.0))
         seen = F.size(F.array_intersect(deck, F.array(*map(F.lit, self.strategic))))
-        valid = (F.size(deck) == self.size) & (F.size(F.array_distinct(deck)) == self.size) & (seen < 4) & top.isNotNull()
-        level = second.isNotNull() & (seen >= 3) & (margin < 0.65) & (second["family"] != top["family"])
-        sure = F.least(F.lit(0.99), 0.58 + F.greatest(F.lit(0.0), top["score"] - top["least"]) * 0.045 + F.least(F.lit(4.0), margin) * 0.055)
-        good = valid & ~F.coalesce(level, F.lit(False))
-        return F.struct(
-            F.when(good, top["name"]).otherwise(OTHER).alias("name"), F.when(good, top["family"]).otherwise(OTHER).alias("family"),
-            F.when(good, F.round(sure, 3)).otherwise(0.0).alias("confidence"), F.when(good, F.round(top["score"], 3)).otherwise(0.0).alias("score"),
-        )
+        whole = (F.size(deck) == self.size) & (F.size(F.array_distinct(deck)) == self.size)
+
+        def best(state: Column) -> Column:
+            ranked, seen, whole = state["ranked"], state["seen"], state["whole"]
+            top, second = F.try_element_at(ranked, F.lit(1)), F.try_element_at(ranked, F.lit(2))
+            margin = top["score"] - F.coalesce(second["score"], F.lit(0.0))
+            level = second.isNotNull() & (seen >= 3) & (margin < 0.65) & (second["family"] != top["family"])
+            sure = F.least(F.lit(0.99), 0.58 + F.greatest(F.lit(0.0), top["score"] - top["least"]) * 0.045 + F.least(F.lit(4.0), margin) * 0.055)
+            good = whole & (seen < 4) & top.isNotNull() & ~F.coalesce(level, F.lit(False))
+            return F.struct(
+                F.when(good, top["name"]).otherwise(OTHER).alias("name"), F.when(good, top["family"]).otherwise(OTHER).alias("family"),
+                F.when(good, F.round(sure, 3)).otherwise(0.0).alias("confidence"), F.when(good, F.round(top["score"], 3)).otherwise(0.0).alias("score"),
+            )
+
+        # the rules are scored once: the rest reads them as a lambda's variable instead of repeating their expressions
+        state = F.struct(F.reverse(F.array_sort(found)).alias("ranked"), seen.alias("seen"), whole.alias("whole"))
+        return F.transform(F.array(state), best)[0]
 
     def family_of(self, name: Column) -> Column:
         known = F.create_map(*[x for r in self.rules for x in (F.lit(r.name), F.lit(r.family))])

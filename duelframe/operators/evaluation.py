@@ -77,3 +77,70 @@ def bootstrap_mean(rows: DataFrame, value: str, iterations: int = 2000, seed: in
     ci = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("p"))
     centre = rows.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return centre.crossJoin(F.broadcast(ci)).select("n", "mean", F.least(F.col("p")[0], "mean").alias("lower"), F.greatest(F.col("p")[1], "mean").alias("upper"))
+
+
+def _share(rows_of: str, of: str) -> Column:
+    """Sum over sum, negative or missing counts as 0; 0 if nothing was expected."""
+    part, whole = (F.sum(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))).cast("double") for c in (rows_of, of))
+    return F.when(whole > 0, part / whole).otherwise(0.0)
+
+
+#: Metrics of a scorecard and the columns that a row must report to count for them.
+METRIC_FIELDS = {
+    "retrieval_recall": ("retrieval_relevant", "retrieval_expected"),
+    "assertion_support_rate": ("assertions_supported", "assertions_total"),
+    "citation_precision": ("citations_correct", "citations_total"),
+    "refusal_accuracy": ("refusal_correct",),
+    "boundary_violation_rate": ("boundary_violations",),
+    "first_token_latency_ms": ("first_token_latency_ms",),
+    "total_latency_ms": ("total_latency_ms",),
+    "timeout_rate": ("timed_out",),
+    "fallback_rate": ("fallback_used",),
+    "token_count": ("token_count",),
+    "estimated_cost": ("estimated_cost",),
+}
+
+
+def scorecard(rows: DataFrame, *by: str) -> DataFrame:
+    """The eleven metrics over the rows that were not ``skipped``, each over the rows that report it, in one aggregation; ``*_rows`` count those."""
+    def mean(c: str) -> Column:
+        return F.coalesce(F.avg(c), F.lit(0.0))
+
+    metrics = {
+        "retrieval_recall": _share("retrieval_relevant", "retrieval_expected"),
+        "assertion_support_rate": _share("assertions_supported", "assertions_total"),
+        "citation_precision": _share("citations_correct", "citations_total"),
+        "refusal_accuracy": ratio(F.col("refusal_correct"), F.col("refusal_correct").isNotNull()),
+        "boundary_violation_rate": ratio(F.col("boundary_violations") > 0, F.col("boundary_violations").isNotNull()),
+        "first_token_latency_ms": mean("first_token_latency_ms"),
+        "total_latency_ms": mean("total_latency_ms"),
+        "timeout_rate": ratio(F.col("timed_out"), F.col("timed_out").isNotNull()),
+        "fallback_rate": ratio(F.col("fallback_used"), F.col("fallback_used").isNotNull()),
+        "token_count": F.coalesce(F.sum(F.greatest("token_count", F.lit(0))), F.lit(0)).cast("long"),
+        "estimated_cost": F.round(F.coalesce(F.sum(F.greatest("estimated_cost", F.lit(0.0))), F.lit(0.0)), 8),
+    }
+    reported = [F.count(F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cols)), 1)).alias(f"{m}_rows") for m, cols in METRIC_FIELDS.items()]
+    compared = rows.where(~F.coalesce(F.col("skipped"), F.lit(False)))
+    return compared.groupBy(*by).agg(F.count("*").alias("case_count"), *[F.round(c, 8).alias(m) for m, c in metrics.items()], *reported)
+
+
+def paired_report(baseline: DataFrame, treatment: DataFrame, intervals: bool = False) -> DataFrame:
+    """(metric, cases, baseline_mean, treatment_mean, mean_delta, effect) of two runs' ``case_scores``, joined on case_id.
+
+    Runs whose cases differ or repeat are rejected. With ``intervals``, lower and upper bounds of the mean difference by bootstrap.
+    """
+    sides = F.sum(F.lit(1)).alias("n"), F.sum("left").alias("l")
+    both = baseline.select("case_id", F.lit(1).alias("left")).unionByName(treatment.select("case_id", F.lit(0).alias("left")))
+    if both.groupBy("case_id").agg(*sides).where("n <> 2 OR l <> 1").limit(1).count():
+        raise ValueError("paired runs must hold the same cases, each once")
+    names = ("recall_at_k", "reciprocal_rank")
+    pairs = baseline.select("case_id", *[F.col(m).alias(f"b_{m}") for m in names]).join(treatment.select("case_id", *[F.col(m).alias(f"t_{m}") for m in names]), "case_id")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"b_{m}").cast("double").alias("b"), F.col(f"t_{m}").cast("double").alias("t")) for m in names]))
+    rows = pairs.select(each.alias("x")).select("x.*")
+    means = rows.groupBy("metric").agg(F.round(F.avg("b"), 6).alias("baseline_mean"), F.round(F.avg("t"), 6).alias("treatment_mean"))
+    out = means.join(paired_effect(rows, "b", "t", "metric"), "metric").select("metric", F.col("pairs").alias("cases"), "baseline_mean", "treatment_mean", F.col("mean_difference").alias("mean_delta"), "effect")
+    if not intervals:
+        return out
+    deltas = rows.select("metric", (F.col("t") - F.col("b")).alias("d"))
+    bounds = [bootstrap_mean(deltas.where(F.col("metric") == m), "d").select(F.lit(m).alias("metric"), "lower", "upper") for m in names]
+    return out.join(F.broadcast(bounds[0].unionByName(bounds[1])), "metric")

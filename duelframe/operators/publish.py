@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,34 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(rows: DataFrame, root: str, version: str, key: str, per_file: int = 50_000) -> dict:
-    """Write a version, check its count, write its manifest and move the pointer; a failure leaves the pointer alone."""
+    """Write a version, check its count, write its manifest and name it by a new pointer; a failure leaves the last pointer alone.
+
+    Pointers are numbered folders. A new one is written aside and renamed into place, which is one step of the file system, so a reader finds the old one or the new one.
+    One publisher is at work at a time.
+    """
     spark, target = rows.sparkSession, f"{root}/versions/{version}"
     rows.write.option("maxRecordsPerFile", per_file).mode("errorifexists").parquet(target)
     written = spark.read.parquet(target)
     manifest = {"version": version, "rows": written.count(), "fingerprint": fingerprint(written, key)}
     spark.createDataFrame([manifest]).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{version}")
-    spark.createDataFrame([{"version": version}]).coalesce(1).write.mode("overwrite").json(f"{root}/pointer")
+    aside = f"{root}/staged/{uuid.uuid4().hex}"
+    spark.createDataFrame([{"version": version}]).coalesce(1).write.json(aside)
+    number = int((_pointers(spark, root) or ["0"])[-1]) + 1
+    fs, folder = _fs(spark, f"{root}/pointers")
+    fs.mkdirs(folder)
+    if not fs.rename(_fs(spark, aside)[1], _fs(spark, f"{root}/pointers/{number:012d}")[1]):
+        raise OSError(f"pointer {number} of {root} could not be put in place")
     return manifest
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    fs, folder = _fs(spark, f"{root}/pointers")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def active(spark: SparkSession, root: str) -> str | None:
-    fs, path = _fs(spark, f"{root}/pointer")
-    return spark.read.schema("version string").json(f"{root}/pointer").first()["version"] if fs.exists(path) else None
+    names = _pointers(spark, root)
+    return spark.read.schema("version string").json(f"{root}/pointers/{names[-1]}").first()["version"] if names else None
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:

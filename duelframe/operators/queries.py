@@ -167,3 +167,8 @@ def content_digest(rows: DataFrame, key: str, counted: str, digits: int = 3) ->
     )
     lines = F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "digest")))
     return buckets.agg(F.sum("n").cast("long").alias(counted), F.sha2(F.concat_ws("\n", lines), 256).alias("digest"))
+
+
+def next_round(rows: DataFrame, round_col: str = "round") -> DataFrame:
+    """The rows of the earliest round among ``rows``; the minimum is one row and is broadcast."""
+    return rows.join(F.broadcast(rows.agg(F.min(round_col).alias(round_col))), round_col)

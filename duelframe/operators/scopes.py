@@ -128,3 +128,19 @@ def _judged(both: DataFrame, keys: list[str], threshold: int) -> DataFrame:
         *keys, "current_games", "baseline_games", rates.rnd(usage).alias("usage_delta"), rates.rnd(clean).alias("clean_win_delta"),
         F.when(appeared, "appeared").when(gone, "disappeared").otherwise("changed").alias("kind"), (appeared | gone | (enough & apart & moved)).alias("significant"),
     )
+
+
+def merged(frames: dict[str, DataFrame]) -> DataFrame:
+    """Statistics of several scopes as one table with ``dataset_scope``; a column that a scope lacks is null there."""
+    named = [rows.select(F.lit(scope).alias("dataset_scope"), "*") for scope, rows in frames.items()]
+    out = named[0]
+    for rows in named[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def generation_id(summaries: DataFrame, at: Column, prefix: str = "gen") -> DataFrame:
+    """One row ``generation_id``: time stamp and the first 12 hex digits of the summaries' digest, one short line for each scope in order."""
+    line = F.concat_ws(":", *[F.col(c).cast("string") for c in summaries.columns])
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256)
+    return summaries.agg(F.concat_ws("-", F.lit(prefix), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.substring(digest, 1, 12)).alias("generation_id"))

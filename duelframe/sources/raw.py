@@ -10,10 +10,16 @@ RECORD = "type string, battleTime string, team string, opponent string"
 
 
 def read_lines(spark: SparkSession, path: str, longest: int = 4 << 20) -> DataFrame:
-    """Records of JSON lines; a line longer than ``longest`` bytes is left out, a broken one becomes nulls."""
+    """Records of JSON lines of at most ``longest`` bytes; a broken one becomes nulls. ``rejected_lines`` lists the others."""
     return parse(spark.read.text(path).where(F.octet_length("value") <= longest))
 
 
+def rejected_lines(spark: SparkSession, path: str, longest: int = 4 << 20) -> DataFrame:
+    """(file, bytes, code) of the lines that ``read_lines`` leaves out."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.octet_length("value").alias("bytes"))
+    return lines.where(F.col("bytes") > longest).withColumn("code", F.lit("LINE_TOO_LONG"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", RECORD).alias("r")).select("r.*")
 
@@ -59,10 +65,25 @@ def canonical(rows: DataFrame) -> DataFrame:
     return ordered.withColumn("won", F.col("team_score") > F.col("opponent_score")).drop("_s")
 
 
-def usable(rows: DataFrame, size: int) -> DataFrame:
-    """Matches with two complete decks, each id once (rows without an id are all kept)."""
+def _complete(size: int) -> Column:
     def exact(c: str) -> Column:
         return (F.size(c) == size) & (F.size(F.array_distinct(c)) == size)
 
-    good = rows.where(exact("team_deck") & exact("opponent_deck"))
-    return good.where("match_id IS NOT NULL").dropDuplicates(["match_id"]).unionByName(good.where("match_id IS NULL"))
+    return F.coalesce(exact("team_deck") & exact("opponent_deck"), F.lit(False))
+
+
+def usable(rows: DataFrame, size: int) -> DataFrame:
+    """Matches with two complete decks, each id once: of rows that share one, the smallest by their other columns in order (rows without an id are all kept)."""
+    good, others = rows.where(_complete(size)), [c for c in rows.columns if c != "match_id"]
+    once = good.where("match_id IS NOT NULL").groupBy("match_id").agg(F.min(F.struct(*others)).alias("r")).select("match_id", "r.*")
+    return once.unionByName(good.where("match_id IS NULL").select("match_id", *others)).select(*rows.columns)
+
+
+def selection_counters(rows: DataFrame, size: int) -> DataFrame:
+    """One row: inspected, incomplete, duplicates and usable records."""
+    good = _complete(size)
+    one = rows.agg(
+        F.count("*").alias("inspected"), F.count(F.when(~good, 1)).alias("incomplete"), F.count(F.when(good & F.col("match_id").isNotNull(), 1)).alias("_named"),
+        F.countDistinct(F.when(good, F.col("match_id"))).alias("_once"), F.count(F.when(good & F.col("match_id").isNull(), 1)).alias("_plain"),
+    )
+    return one.select("inspected", "incomplete", F.expr("_named - _once").alias("duplicates"), F.expr("_once + _plain").alias("usable"))

@@ -131,6 +131,13 @@ def test_raw_logs_in_every_shape(spark):
     assert got[0].match_id == got[1].match_id and len(got[0].match_id) == 24 and got[2].match_id is None
     assert got[0].team_deck == ["Electro Giant", "Zap"] and got[0].opponent_deck == ["Fireball", "Hog Rider"] and got[0].won and not got[1].won
     assert raw.usable(raw.canonical(raw.normalise(records)), 2).count() == 2
+    assert raw.selection_counters(raw.normalise(records), 2).first().asDict() == {"inspected": 4, "incomplete": 1, "duplicates": 1, "usable": 2}
+
+
+def test_long_lines_are_listed(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"type":"a"}\n{"type":"' + "x" * 100 + '"}\n')
+    assert raw.read_lines(spark, str(tmp_path), 50).count() == 1
+    assert [(r.bytes, r.code) for r in raw.rejected_lines(spark, str(tmp_path), 50).collect()] == [(111, "LINE_TOO_LONG")]
 
 
 def test_loadout_forms_and_contract(spark):

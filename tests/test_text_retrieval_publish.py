@@ -82,6 +82,24 @@ def test_ranking_and_effects(spark):
     assert tuple(a) == tuple(b) and a.lower <= a["mean"] <= a.upper
 
 
+def test_scorecard_counts_only_rows_that_report_a_field(spark):
+    schema = ("retrieval_relevant int, retrieval_expected int, assertions_supported int, assertions_total int, citations_correct int, citations_total int, refusal_correct boolean, "
+              "boundary_violations int, first_token_latency_ms double, total_latency_ms double, timed_out boolean, fallback_used boolean, token_count int, estimated_cost double, skipped boolean")
+    none = [None] * 14
+    rows = [[3, 4, *none[2:], None], [*none[:6], True, 0, None, 10.0, None, None, 5, 0.25, False], [*none[:6], None, 2, None, 30.0, True, None, -5, None, None], [9, 9, *none[2:], True]]
+    got = ev.scorecard(spark.createDataFrame(rows, schema)).first()
+    assert (got.case_count, got.retrieval_recall, got.refusal_accuracy, got.boundary_violation_rate, got.total_latency_ms) == (3, 0.75, 1.0, 0.5, 20.0)
+    assert (got.timeout_rate, got.fallback_rate, got.token_count, got.estimated_cost, got.timeout_rate_rows, got.citation_precision) == (1.0, 0.0, 5, 0.25, 1, 0.0)
+
+
+def test_paired_report_rejects_other_cases(spark):
+    runs = [spark.createDataFrame(r, "case_id long, recall_at_k int, reciprocal_rank double") for r in ([(1, 1, 1.0), (2, 0, 0.0)], [(1, 1, 0.5), (2, 1, 1.0)], [(1, 1, 1.0), (1, 0, 0.0)])]
+    got = {r.metric: (r.cases, r.mean_delta, r.lower <= r.mean_delta <= r.upper) for r in ev.paired_report(runs[0], runs[1], intervals=True).collect()}
+    assert got == {"recall_at_k": (2, 0.5, True), "reciprocal_rank": (2, 0.25, True)}
+    with pytest.raises(ValueError):
+        ev.paired_report(runs[0], runs[2])
+
+
 def test_conflicts_and_inserts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, payload_hash string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "k int, payload_hash string")
@@ -103,6 +121,8 @@ def test_publication_moves_the_pointer_and_prunes(spark, tmp_path):
     for version in ("v1", "v2", "v3"):
         assert pb.publish(rows, root, version, "id")["rows"] == 100
     assert pb.active(spark, root) == "v3" and pb.unchanged(rows.repartition(3), root, "id") and not pb.unchanged(rows.limit(9), root, "id")
+    (tmp_path / "staged" / "left_by_a_crash").mkdir()
+    assert pb.active(spark, root) == "v3"
     assert pb.prune(spark, root) == ["v1"] and pb.load(spark, root).count() == 100
     assert pb.export_jsonl(rows, f"{root}/out", "id", 30) == 100
 

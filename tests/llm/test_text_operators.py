@@ -532,3 +532,26 @@ def test_quotes_are_linked_to_their_messages(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
     chats = {(r.conv_id, r.segment): r.chat for r in quotes.chat_text(quotes.conversations(df), 3).collect()}
     assert chats[1, 0].count("<|") == 3 and ">" not in chats[1, 0].replace("|>", "")
+
+
+def test_marks_of_many_texts_are_those_of_each_alone():
+    rng = random.Random(5)
+    sizes = [0, 3, 49, 50, 51, 400, 0, 120, 50]
+    cache = WordHash()
+    own = [word_ids([b"w%d" % rng.randrange(30) for _ in range(n)], cache) for n in sizes]
+    together = passages.anchors_and_windows(np.concatenate(own), np.array(sizes))
+    alone = [passages.anchors_and_windows(ids, np.array([len(ids)])) for ids in own]
+
+    def rows(marks, row=None):
+        return [tuple([row if row is not None else int(m[0]), *map(int, m[1:])]) for m in zip(*marks)]
+
+    assert sorted(rows(together)) == sorted(x for i, marks in enumerate(alone) for x in rows(marks, i))
+    assert {m[0] for m in rows(together)} == {i for i, n in enumerate(sizes) if n >= 50}
+    row, _, at, first, count = together[:5]
+    order = np.argsort(row, kind="stable")
+    keys = passages.group_keys(np.concatenate(own), np.array(sizes), row[order], at[order], first[order], count[order])
+    single = []
+    for i, (ids, marks) in enumerate(zip(own, alone)):
+        got = passages.group_keys(ids, np.array([len(ids)]), marks[0], *marks[2:5])
+        single += [(i, *map(int, x)) for x in zip(*got[1:])]
+    assert sorted(tuple(map(int, x)) for x in zip(*keys)) == sorted(single)

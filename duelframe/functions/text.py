@@ -188,3 +188,31 @@ def grounding(entities: set[str]):
             yield pd.DataFrame({"passed": [not b for b in bad], "unsupported": bad})
 
     return udf
+
+
+def _asks_form(asked: Column, name: Column, word: str) -> Column:
+    """Whether the text has the word outside the first place of the name, so that a word of an official name is no form."""
+    own = normal_alias(name)
+    at = F.position(own, asked)
+    rest = F.when((own != "") & (at > 0), F.concat(F.substr(asked, F.lit(1), at - 1), F.lit(" "), F.substr(asked, at + F.length(own)))).otherwise(asked)
+    return rest.rlike(rf"\b{word}\b")
+
+
+def entity_form(text: Column, name: Column, tower: Column) -> Column:
+    """(entity_mode, entity_type, entity_name, special_state) that a text asks of its resolved name: a tower, an evolution, an elite form, or neither.
+
+    Without a name nothing is asked. The words are fixed values.
+    """
+    asked, there = normal_alias(text), F.coalesce(name != "", F.lit(False))
+    evolved = there & (asked.contains("觉醒") | _asks_form(asked, name, "evolved") | _asks_form(asked, name, "evolution"))
+    elite = there & (asked.contains("精英") | _asks_form(asked, name, "elite"))
+
+    def made(mode: str, kind: str | None, of: Column, state: str | None) -> Column:
+        return F.struct(F.lit(mode).alias("entity_mode"), F.lit(kind).cast("string").alias("entity_type"), of.cast("string").alias("entity_name"), F.lit(state).cast("string").alias("special_state"))
+
+    return (
+        F.when(there & tower, made("loadout_entity", "tower", name, "tower"))
+        .when(evolved, made("loadout_entity", "card", F.regexp_replace(name, " Evolution$", ""), "evolution"))
+        .when(elite, made("loadout_entity", "card", name, "elite"))
+        .otherwise(made("base8", None, F.lit(None), None))
+    )

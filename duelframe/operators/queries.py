@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions import rates
+from duelframe.session import settled
 
 
 class QueryError(ValueError):
@@ -29,9 +30,22 @@ def item_rankings(items: DataFrame, metric: str, key: str = "item", display: str
     ).orderBy(*order)
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Rows numbered from 1 in a total order, without a task that holds them all.
+
+    Rows are dealt and sorted by range and written once with their place in their partition: dealing them a second time could draw other
+    bounds. The partitions' running counts, one row for each, are broadcast and added.
+    """
+    placed = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    running = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.expr("_before + (_at & 8589934591L) + 1")).drop("_p", "_at", "_before")
+
+
 def positions(rows: DataFrame, *order: Column) -> DataFrame:
-    """Rows numbered from 1. The order is total over few rows: aggregates of items or baskets, not matches."""
-    return rows.select("*", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    return numbered(rows, *order)
 
 
 def position_of(items: DataFrame, metric: str, item: str, key: str = "item") -> DataFrame:
@@ -146,17 +160,10 @@ def frontier(seen: DataFrame, known: DataFrame, key: str = "tag", at: str = "pos
 
 
 def sampled(rows: DataFrame, key: str, ends: int, step: int, offset: int) -> DataFrame:
-    """The first and last ``ends`` rows in key order and every ``step``-th one: a deterministic validation sample.
-
-    Rows are numbered by range partitions: sorted once, counted per partition, then offset, so no task holds all rows.
-    """
-    ordered = rows.select("*", F.xxhash64(key).alias("_h")).repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_p"))
-    local = ordered.withColumn("_at", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    counts = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    running = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))
-    placed = local.join(F.broadcast(before), "_p").withColumn("position", (F.col("_before") + F.col("_at")).cast("int"))
-    return placed.where((F.col("position") <= ends) | (F.col("position") > F.col("n") - ends) | (F.col("position") % step == offset)).drop("_p", "_at", "_h", "_before", "n")
+    """The first and last ``ends`` rows in key order and every ``step``-th one: a deterministic validation sample."""
+    placed = numbered(rows, F.col(key)).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    wanted = (F.col("position") <= ends) | (F.col("position") > F.col("_n") - ends) | (F.col("position") % step == offset)
+    return placed.where(wanted).withColumn("position", F.col("position").cast("int")).drop("_n")
 
 
 def content_digest(rows: DataFrame, key: str, counted: str, digits: int = 3) -> DataFrame:

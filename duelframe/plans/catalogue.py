@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.plans import corpus, evaluation, evidence, items, loadouts, more, reports, retrieval, scopes, text  # noqa: F401
+from duelframe.plans import corpus, evaluation, evidence, intake, items, loadouts, more, reports, retrieval, scopes, text  # noqa: F401
 from duelframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

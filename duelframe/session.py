@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "duelframe", master: str | None = None, **conf: object) -> SparkSession:
@@ -19,3 +22,21 @@ def build_session(app: str = "duelframe", master: str | None = None, **conf: obj
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows written once as a table in the folder that the cluster names in spark.checkpoint.dir, and read back.
+
+    All later readers see the same rows, and an executor's loss costs nothing that is written. Where the setting is missing, a folder of
+    our own is taken on a single machine only, as in tests.
+    """
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="settled"))
+    path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

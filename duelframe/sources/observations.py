@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.operators.queries import numbered
 from duelframe.sources import matches as src
 
 #: Days of the adapter per day of a scope window, since its orders span years.
@@ -19,8 +20,7 @@ def now_of(batches: DataFrame) -> Column:
 
 def observations(rows: DataFrame, customers: DataFrame) -> DataFrame:
     """(batch_id, match_id, observer_tag, observer_rank, observer_source, week): every third match lacks a rank."""
-    rank = F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey"))
-    ranked = customers.select(F.col("c_custkey").alias("cust"), rank.alias("rank"))
+    ranked = numbered(customers.select("c_acctbal", F.col("c_custkey").alias("cust")), F.desc("c_acctbal"), F.col("cust"), name="rank").select("cust", F.col("rank").cast("int").alias("rank"))
     direct = F.pmod(F.substring("match_id", 2, 20).cast("long"), F.lit(3)) != 0
     return rows.join(ranked, "cust").select(
         F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd").alias("batch_id"), "match_id", F.col("cust").alias("observer_tag"),

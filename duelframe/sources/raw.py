@@ -37,7 +37,7 @@ def names(of: Column) -> Column:
 
 
 def of_type(records: DataFrame, wanted: str) -> DataFrame:
-    return records.where(F.lower(F.trim(F.regexp_replace("type", "[^A-Za-z]", ""))) == wanted.lower())
+    return records.where(F.lower(F.trim("type")) == wanted.lower())
 
 
 def normalise(records: DataFrame) -> DataFrame:

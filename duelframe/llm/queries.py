@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import language, media, mixing, near_dedup, neighbours, passages, quotes, sentence_pieces, token_counts, toxicity
+from duelframe.llm import byte_pairs, centroids, language, media, mixing, near_dedup, neighbours, passages, quotes, repair, sentence_pieces, token_counts, toxicity
 from duelframe.llm.common import table
 
 
@@ -67,6 +67,22 @@ def op5_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_repeats(table(spark, sf_dir, "documents"))
 
 
+
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.sort_means(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+
+def op12_bucketed_byte_pairs(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    return byte_pairs.round_trips(table(spark, sf_dir, "documents"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+
+def op13_tensor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op5_paragraph_banding": op5_paragraph_banding,
     "op1_setsketch_near_dedup": op1_setsketch_near_dedup,
@@ -78,8 +94,13 @@ QUERIES = {
     "op6_piece_transducer": op6_piece_transducer,
     "op4_transducer_token_counts": op4_transducer_token_counts,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
+    "op11_sort_means": op11_sort_means,
+    "op12_bucketed_byte_pairs": op12_bucketed_byte_pairs,
+    "op13_tensor_repair": op13_tensor_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_setsketch_near_dedup": near_dedup.ORACLE_SQL,
     "op2_quotation_linking": quotes.ORACLE_SQL,
+    "op11_sort_means": centroids.ORACLE_SQL,
+    "op13_tensor_repair": repair.ORACLE_SQL,
 }

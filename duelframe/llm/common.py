@@ -146,25 +146,30 @@ def split_by_hash(key: str | Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(modulus)
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+def hot_keys(rows: DataFrame, *key: str) -> DataFrame:
     """Keys with more than a thousandth of the rows (and over 1,000), of which there are fewer than 1,000 at any size."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return hot_counts(rows.where(F.col(key[0]).isNotNull()).groupBy(*key).agg(F.count("*").alias("_n")), rows).select(*key)
+
+
+def hot_counts(counts: DataFrame, rows: DataFrame, n: str = "_n") -> DataFrame:
+    """Those of ``counts`` (one row for each key of ``rows``) with more than a thousandth of the rows, and over 1,000."""
     total = rows.agg((F.count("*") / 1000).alias("_cut"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.greatest(F.col("_cut"), F.lit(1000.0))).select(key)
+    return counts.join(F.broadcast(total), F.col(n) > F.greatest(F.col("_cut"), F.lit(1000.0))).drop("_cut")
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", pieces: int = 64, hot: DataFrame | None = None) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str = "left", pieces: int = 64, hot: DataFrame | None = None) -> DataFrame:
     """Join where a key may hold a large share of ``many`` and is unique in ``one``.
 
     The ``hot_keys`` of ``many`` (or those given) are broadcast; their rows of ``many`` are dealt over ``pieces`` and their row of ``one`` is copied to each piece.
     """
-    hot = F.broadcast((hot_keys(many, key) if hot is None else hot).select(key, F.lit(True).alias("_hot")))
-    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in many.columns if c != key][:1]), F.lit(pieces)).cast("int")).otherwise(0)
-    left = many.join(hot, key, "left").withColumn("_salt", deal).drop("_hot")
-    right = one.join(hot, key, "left").withColumn(
+    on = [key] if isinstance(key, str) else key
+    hot = F.broadcast((hot_keys(many, *on) if hot is None else hot).select(*on, F.lit(True).alias("_hot")))
+    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in many.columns if c not in on][:2]), F.lit(pieces)).cast("int")).otherwise(0)
+    left = many.join(hot, on, "left").withColumn("_salt", deal).drop("_hot")
+    right = one.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

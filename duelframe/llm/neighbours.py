@@ -102,13 +102,13 @@ def _meet(index: DataFrame, queries: DataFrame, k: int, piece_rows: int, piece_q
     grid = checkpoint(rows.join(asks, bucket))
     left = (
         index.join(F.broadcast(grid), bucket)
-        .withColumn("piece", F.pmod(F.xxhash64("id"), F.col("n_piece")).cast("int"))
+        .withColumn("piece", F.pmod(F.xxhash64("id", "v"), F.col("n_piece")).cast("int"))
         .withColumn("q_piece", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
         .select(*_KEY, "id", "v")
     )
     right = (
         queries.join(F.broadcast(grid), bucket)
-        .withColumn("q_piece", F.pmod(F.xxhash64("id"), F.col("n_q")).cast("int"))
+        .withColumn("q_piece", F.pmod(F.xxhash64("id", "v"), F.col("n_q")).cast("int"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_piece") - 1)))
         .select(*_KEY, "id", "v")
     )
@@ -119,6 +119,10 @@ def _meet(index: DataFrame, queries: DataFrame, k: int, piece_rows: int, piece_q
             size = key[0].as_py()
             ids, asked = a.column("id").to_numpy(), b.column("id").to_numpy()
             x = a.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
+            by_id = np.argsort(ids, kind="stable")
+            ids, x = ids[by_id], x[by_id]
+            # an id's rows follow one another; they count once, at the nearest
+            heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             q = b.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
             # the rough pass works on values below 1, so that nothing overflows; its rounding grows with the norms, not with the distances
             unit = max(float(np.abs(x).max()), float(np.abs(q).max()))
@@ -130,12 +134,16 @@ def _meet(index: DataFrame, queries: DataFrame, k: int, piece_rows: int, piece_q
                 rough = norms - 2 * block @ small.T + own[:, None]
                 for i, row in enumerate(rough):
                     row = np.where(ids == asked[at + i], np.inf, row)
-                    cut = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                    low = row if len(heads) == len(row) else np.minimum.reduceat(row, heads)
+                    cut = np.partition(low, k - 1)[k - 1] if len(low) > k else np.inf
                     # every row within rounding of the cut is measured exactly, so ties fall to the smaller id
                     slack = 1e-13 * size * (own[i] + norms)
                     near = np.flatnonzero(row - slack <= cut + slack.max() if np.isfinite(cut) else np.isfinite(row))
                     exact = distances(x[near], q[at + i])
-                    for j in np.lexsort((ids[near], exact))[:k]:
+                    order = np.lexsort((ids[near], exact))
+                    if len(heads) < len(row):
+                        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+                    for j in order[:k]:
                         out["query_id"].append(asked[at + i])
                         out["vec_id"].append(ids[near[j]])
                         out["score"].append(exact[j])
@@ -154,10 +162,10 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of each query, itself excepted, by Euclidean distance.
 
     Null, zero and non-finite vectors take no part, nor do rows without an id; vectors of different lengths are not compared. Ties go to
-    the smaller vec_id. Rows that share an id count once, at their nearest. A query that meets fewer than ``k`` candidates in its
+    the smaller vec_id. Rows that share an id count once, at their nearest, also as queries; equal rows are one. A query that meets fewer than ``k`` candidates in its
     buckets is held against all rows in pieces, so it gets ``k`` or all there are. Empty tables give no rows; other columns are ignored.
     """
-    rows, asked = valid(vectors), valid(queries)
+    rows, asked = valid(vectors).distinct(), valid(queries).distinct()
     found = checkpoint(_meet(_codes(rows, tables, 1), _codes(asked, tables, probes), k, piece_rows, piece_queries))
     short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
     whole = (F.lit(0).alias("part"), F.lit(0).alias("code"))

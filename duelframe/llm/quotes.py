@@ -85,11 +85,11 @@ def link(parsed: DataFrame) -> DataFrame:
         .distinct()
         .select(*NAMES, "passage", F.col("p.level").alias("level"), F.xxhash64(normal(F.col("p.body"))).alias("text"))
     )
-    wanted = quotes.select("conv_id", "text").distinct()
+    wanted = quotes.select(F.col("conv_id").alias("in_conv"), F.col("text").alias("wanted")).distinct()
     units = F.array_distinct(F.concat(F.array(F.col("body")), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")))
     originals = (
         parsed.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, lambda u: F.xxhash64(normal(u))))).alias("text"))
-        .join(wanted, ["conv_id", "text"], "left_semi")
+        .join(wanted, F.col("conv_id").eqNullSafe(F.col("in_conv")) & (F.col("text") == F.col("wanted")), "left_semi")
         .distinct()
     )
     both = quotes.withColumn("from", F.lit(None).cast("long")).unionByName(originals.withColumn("from", F.col("turn")), allowMissingColumns=True)
@@ -160,7 +160,7 @@ p AS (SELECT rid, run, any_value(level) AS level, trim(regexp_replace(lower(stri
 q AS (SELECT p.rid, run, level, q, conv_id, turn FROM p JOIN msg USING (rid) WHERE q <> ''),
 u AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS q
       FROM (SELECT conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10))))) AS unit FROM msg)),
-s AS (SELECT q.rid, q.run, q.level, max(u.turn) AS source FROM q LEFT JOIN u ON u.conv_id = q.conv_id AND u.q = q.q AND u.turn < q.turn GROUP BY ALL),
+s AS (SELECT q.rid, q.run, q.level, max(u.turn) AS source FROM q LEFT JOIN u ON u.conv_id IS NOT DISTINCT FROM q.conv_id AND u.q = q.q AND u.turn < q.turn GROUP BY ALL),
 per AS (SELECT rid, count(*) AS n_quotes, count(source) AS n_linked, arg_min(source, run) FILTER (WHERE level = 1 AND source IS NOT NULL) AS quoted FROM s GROUP BY rid)
 SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position,
        coalesce(quoted, max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reply_to,

@@ -25,7 +25,7 @@ def test_neighbours_recall_ties_and_edges(spark):
         d[q] = np.inf
         want = np.lexsort((np.arange(600), d))[:10]
         mine = sorted(got[q])
-        assert [r for r, *_ in mine] == list(range(1, 11)) and all(s == d[v] for _, v, s in mine)
+        assert [r for r, *_ in mine] == list(range(1, 14)) and all(s == d[v] for _, v, s in mine)
         hits += len({v for _, v, _ in mine} & set(want.tolist()))
         total += 10
     assert hits / total >= 0.9
@@ -56,6 +56,11 @@ def test_neighbours_of_large_and_of_close_vectors(spark):
 def test_contract_columns(spark):
     want = {
         "op1_": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+        "op11_": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+        "op12_": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+        "op13_": {
+            "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string",
+        },
         "op3_": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
         "op4_": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
         "op7_": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
@@ -67,7 +72,7 @@ def test_contract_columns(spark):
         name = next(n for n in queries.QUERIES if n.startswith(prefix))
         have = dict(queries.QUERIES[name](spark, SF).dtypes)
         assert {c: have.get(c) for c in columns} == columns, name
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -90,3 +95,22 @@ def test_nothing_else_imports_the_subpackage():
                 if n.endswith(".py"):
                     with open(os.path.join(folder, n), encoding="utf-8") as f:
                         assert "duelframe.llm" not in f.read(), n
+
+
+def test_neighbours_under_repeated_ids(spark):
+    """Copies of an id take no places: 20 candidates of 12 rows each give ten rows, also where the rows differ, and recall is that of single rows."""
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(20, 16))
+    equal = [(0, x[0].tolist())] + [(i + 1, v.tolist()) for i, v in enumerate(x) for _ in range(12)]
+    df = spark.createDataFrame(equal, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0")).collect())
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    assert [v for _, _, v, _ in got] == (np.lexsort((np.arange(20), d))[:10] + 1).tolist() and [r for _, r, _, _ in got] == list(range(1, 14))
+    moved = {i + 1: [v + rnd.normal(size=16) * 0.3 for _ in range(12)] for i, v in enumerate(x)}
+    rows = [(0, x[0].tolist())] + [(i, v.tolist()) for i, vs in moved.items() for v in vs]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    near = {i: min(np.sqrt(((v - x[0]) ** 2).sum()) for v in vs) for i, vs in moved.items()}
+    for piece_rows in (8192, 30):
+        got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0"), probes=32, piece_rows=piece_rows).collect())
+        assert [v for _, _, v, _ in got] == sorted(near, key=lambda i: (near[i], i))[:10]
+        assert all(s == near[v] for _, _, v, s in got)

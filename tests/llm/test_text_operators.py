@@ -416,7 +416,7 @@ def test_seats_follow_the_highest_quotients(spark):
 CHAT = [
     (1, 0, "user", "Hello there\nhow are you"), (1, 1, "assistant", "Fine thanks"), (1, 2, "user", "> Hello   THERE\n> how are you\nI asked"),
     (1, 3, "assistant", "> > Hello there\n> > how are you\n> I asked\nyes"), (1, 4, "user", ">nothing like it\n\nok"), (2, 0, "user", None), (2, 1, "user", ""), (2, 1, "user", ""),
-    (None, 0, "user", "lost"), (3, None, "system", "> Fine thanks\nx"), (4, 5000, "user", "late"), (4, 2, "user", "early"),
+    (None, 0, "user", "lost"), (None, 1, "assistant", "> lost\nfound"), (3, None, "system", "> Fine thanks\nx"), (4, 5000, "user", "late"), (4, 2, "user", "early"),
 ]
 
 
@@ -436,7 +436,7 @@ def quoting_chat(n_convs=150, turns=20):
                 parts.append("\n".join(mark + (x.upper() if r.random() < 0.3 else x) for x in pick.split("\n")))
             parts.insert(r.randint(0, len(parts)), own)
             bodies.append(own)
-            rows.append((c, t, "user" if t % 2 else "assistant", r.choice(["\n", "\r\n", "\n\n"]).join(parts)))
+            rows.append((c or None, t, "user" if t % 2 else "assistant", r.choice(["\n", "\r\n", "\n\n"]).join(parts)))
     return rows
 
 
@@ -445,13 +445,13 @@ def test_quote_links_equal_the_sql_on_quoting_conversations(spark):
     import pandas as pd
 
     rows = quoting_chat()
-    frame_ = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    frame_ = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
     con = duckdb.connect()
     con.register("conversations", frame_)
     names = ["conv_id", "turn", "role", "position", "reply_to", "body", "depth", "n_quotes", "n_linked"]
-    want = con.execute(f"SELECT {', '.join(names)} FROM ({quotes.ORACLE_SQL}) ORDER BY conv_id, turn").fetchall()
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({quotes.ORACLE_SQL})").fetchall(), key=lambda r: (r[0] or 0, r[1]))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    got = [tuple(r[n] for n in names) for r in quotes.conversations(df).orderBy("conv_id", "turn").collect()]
+    got = [tuple(r[n] for n in names) for r in quotes.conversations(df).orderBy(F.coalesce("conv_id", F.lit(0)), "turn").collect()]
     assert len(got) == 3000 and sum(r[8] for r in got) > 1500 and max(r[6] for r in got) >= 2
     assert got == want
 
@@ -527,6 +527,7 @@ def test_quotes_are_linked_to_their_messages(spark):
     assert (got[1, 2].reply_to, got[1, 2].body, got[1, 2].depth, got[1, 2].n_linked) == (0, "I asked", 1, 1)
     assert (got[1, 3].reply_to, got[1, 3].body, got[1, 3].depth, got[1, 3].n_quotes, got[1, 3].n_linked) == (2, "yes", 2, 2, 2)
     assert (got[1, 4].reply_to, got[1, 4].n_linked, got[1, 1].reply_to, got[1, 0].reply_to) == (3, 0, 0, None)
+    assert (got[None, 1].reply_to, got[None, 1].body, got[None, 1].n_linked) == (0, "found", 1)
     assert (got[4, 5000].reply_to, got[4, 5000].position, got[3, None].n_linked) == (2, 2, 0)
     assert sorted(r.position for r in rows if r.conv_id == 2) == [1, 2, 3]
     assert quotes.conversations(df.limit(0)).count() == 0
@@ -546,7 +547,7 @@ def test_marks_of_many_texts_are_those_of_each_alone():
         return [tuple([row if row is not None else int(m[0]), *map(int, m[1:])]) for m in zip(*marks)]
 
     assert sorted(rows(together)) == sorted(x for i, marks in enumerate(alone) for x in rows(marks, i))
-    assert {m[0] for m in rows(together)} == {i for i, n in enumerate(sizes) if n >= 50}
+    assert {m[0] for m in rows(together)} == {i for i, n in enumerate(sizes) if n >= passages.WIDTH}
     row, _, at, first, count = together[:5]
     order = np.argsort(row, kind="stable")
     keys = passages.group_keys(np.concatenate(own), np.array(sizes), row[order], at[order], first[order], count[order])

@@ -59,11 +59,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a checkpointed frame that nothing reads any more."""
+    """Delete the files of a checkpointed frame that nothing reads any more, and have the driver drop what refers to finished shuffles, whose files Spark then removes."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stage-" in f}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def map_batches(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,19 +25,19 @@ def build_session(app: str = "duelframe", master: str | None = None, **conf: obj
     return builder.getOrCreate()
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Rows written once as a table in the folder that the cluster names in spark.checkpoint.dir, and read back.
-
-    All later readers see the same rows, and an executor's loss costs nothing that is written. Where the setting is missing, a folder of
-    our own is taken on a single machine only, as in tests.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset on a single machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="settled"))
-    path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows written once as a table in the shared folder, and read back: all later readers see the same rows, and an executor's loss costs nothing that is written."""
+    path = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

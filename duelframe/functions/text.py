@@ -152,44 +152,6 @@ def resolve_names(aliases: dict[str, str]):
     return udf
 
 
-def claims(text: str, entities: set[str]) -> list[tuple[str, str, str | None, frozenset[str]]]:
-    """(value, unit, metric, entities of its segment) of every number in a text; the metric is the last one named up to 48 characters before."""
-    out = []
-    for segment in re.split(SEGMENT_END, text or ""):
-        low = segment.lower()
-        here = frozenset(e for e in entities if e.lower() in low)
-        for m in re.finditer(NUMBER, segment, re.I):
-            value, unit = m[1].replace(",", ""), m[2].lower()
-            value = value.rstrip("0").rstrip(".") if "." in value else value
-            counted = unit in ("场", "次") or unit.startswith(("battle", "game", "appearance"))
-            unit = "场" if unit.startswith(("battle", "game")) else "次" if unit.startswith("appearance") else unit
-            before = low[max(0, m.start() - 48) : m.start()]
-            near = max(((before.rfind(a.lower()), name) for name, aliases in METRIC_NAMES.items() for a in aliases if a.lower() in before), default=(-1, None))[1]
-            out.append((value, unit, "sample_size" if counted else near, here))
-    return out
-
-
-def unsupported_claims(answer: str, evidence: str, entities: set[str]) -> list[str]:
-    """Claims of an answer without a counterpart in the evidence of equal value and unit, the same metric if known and a shared entity if named."""
-    have, out = claims(evidence, entities), set()
-    for value, unit, name, here in claims(answer, entities):
-        match = [c for c in have if c[:2] == (value, unit) and (name is None or c[2] == name) and (not here or here & c[3])]
-        if not match:
-            out.add(f"{','.join(sorted(here)) or '*'}|{name or '*'}|{value}{unit}")
-    return sorted(out)
-
-
-def grounding(entities: set[str]):
-    """Pandas UDF over (answer, evidence): struct(passed, unsupported)."""
-    @F.pandas_udf("passed boolean, unsupported array<string>")
-    def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for answer, evidence in batches:
-            bad = [unsupported_claims(a or "", e or "", entities) for a, e in zip(answer, evidence)]
-            yield pd.DataFrame({"passed": [not b for b in bad], "unsupported": bad})
-
-    return udf
-
-
 def _asks_form(asked: Column, name: Column, word: str) -> Column:
     """Whether the text has the word outside the first place of the name, so that a word of an official name is no form."""
     own = normal_alias(name)

@@ -51,14 +51,6 @@ def resolved_names(spark, sf_dir):
     return tables(spark, sf_dir, "part")[0].select("p_partkey", names("p_name").alias("names"))
 
 
-@register("r155_grounding")
-def grounding(spark, sf_dir):
-    (events,) = tables(spark, sf_dir, "events")
-    evidence = F.concat(F.lit("Card A usage rate "), F.format_string("%.1f", "value"), F.lit("%"))
-    answer = F.concat(F.lit("Card A usage rate "), F.format_string("%.1f", F.when(F.col("event_id") % 3 == 0, F.col("value") + 1).otherwise(F.col("value"))), F.lit("%"))
-    return events.select("event_id", tx.grounding({"Card A"})(answer, evidence).alias("g")).select("event_id", "g.passed", "g.unsupported")
-
-
 @register("r129_broken_percent", "SELECT event_id, event_id % 4 = 0 AS broken FROM events")
 def broken_percent(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")

@@ -15,14 +15,6 @@ from duelframe.streaming import incremental as inc
 SF = "/root/testdata/sf0.001"
 
 
-def test_numeric_facts_and_grounding():
-    e = {"Electro Giant", "Hog Rider"}
-    assert tx.unsupported_claims("usage rate 4.3% in 859 次", "usage rate 4.30% and 859 appearances", e) == []
-    assert tx.unsupported_claims("20,000 场", "20000 battles", e) == []
-    assert tx.unsupported_claims("Electro Giant usage rate 5.5%", "Electro Giant usage rate 3%\nHog Rider usage rate 5.5%", e) == ["Electro Giant|usage_rate|5.5%"]
-    assert tx.unsupported_claims("99.9%", "1%", e) == ["*|*|99.9%"]
-
-
 def test_text_expressions(spark):
     rows = ["前三 净胜率", "top 99 usage rate on 2026年7月3日", "第十 rank 2", "plain", None]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select(

@@ -51,20 +51,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise as a table in the shared folder and read it back.
 
     Lineage is cut, an executor's loss costs nothing already written, and the planner sees the table's true size; a chain of
-    checkpointed frames would carry size estimates that multiply with every join.
+    checkpointed frames would carry size estimates that multiply with every join. The driver then drops what refers to finished shuffles, so
+    that Spark removes their files.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a checkpointed frame that nothing reads any more, and have the driver drop what refers to finished shuffles, whose files Spark then removes."""
+    """Delete the files of a checkpointed frame that nothing reads any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stage-" in f}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
 
 
 def map_batches(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duelframe.functions import names as nm
 from duelframe.functions import text as tx
 from duelframe.operators import documents, stats
 from duelframe.operators import retrieval as rt
@@ -45,10 +46,59 @@ def numeric_facts(spark, sf_dir):
     return events.select("event_id", F.size(facts).alias("facts"), facts[0]["value"].alias("first_value"))
 
 
-@register("r131_resolved_names")
+#: Names with their aliases, among them forms whose aliases are made, and two that begin alike.
+NAMES = (
+    ("Ring", "ring", 0), ("Ring", "rings", 1), ("Small Ring", "small ring", 2), ("Red Widget", "red-widget", 3), ("Widget", "widget", 4), ("Bolt", "螺栓", 5), ("Ring Evolution", None, 6), ("Hero Bolt", None, 7),
+)
+ALIASES_SQL = """
+names(name, alias, place) AS (VALUES ('Ring', 'ring', 0), ('Ring', 'rings', 1), ('Small Ring', 'small ring', 2), ('Red Widget', 'red-widget', 3), ('Widget', 'widget', 4), ('Bolt', '螺栓', 5), ('Ring Evolution', NULL, 6), ('Hero Bolt', NULL, 7)),
+base AS (SELECT name, alias FROM names WHERE alias IS NOT NULL UNION SELECT name, lower(name) FROM names),
+made AS (SELECT name, alias FROM base UNION SELECT 'Ring Evolution', replace(t, '{}', alias) FROM base, (SELECT unnest(['{}进化', '进化{}', '觉醒{}', '{}觉醒', 'evo {}', 'evolved {}']) AS t) WHERE name = 'Ring'
+  UNION SELECT 'Hero Bolt', replace(t, '{}', alias) FROM base, (SELECT unnest(['英雄{}', '{}英雄', 'hero {}']) AS t) WHERE name = 'Bolt'),
+normal AS (SELECT name, trim(regexp_replace(regexp_replace(alias, '[._-]+', ' ', 'g'), ' +', ' ', 'g')) AS alias FROM made),
+aliases AS (SELECT name, alias FROM normal UNION SELECT name, replace(alias, ' ', '') FROM normal),
+asked AS (SELECT p_partkey, lower(text) AS text FROM (SELECT p_partkey, """ + """CASE p_partkey % 5 WHEN 0 THEN p_name || ' and evolved rings' WHEN 1 THEN '比较 hero螺栓英雄 ' || p_name WHEN 2 THEN 'SMALL.RING, smallring or ring_evolution of ' || p_name WHEN 3 THEN p_name || 'ring bolts' ELSE p_name END AS text FROM part)),
+clean AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(text, '[._-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM asked),
+hits AS (SELECT p_partkey, i, length(alias) AS n, name FROM clean, aliases, range(1, 60) r(i) WHERE substr(text, i::INT, length(alias)) = alias
+  AND (NOT regexp_full_match(alias, '[a-z0-9 .''-]+') OR (NOT regexp_matches(substr(text, (i - 1)::INT, 1), '^[a-z0-9]') OR i = 1) AND NOT regexp_matches(substr(text, (i + length(alias))::INT, 1), '^[a-z0-9]'))),
+sorted AS (SELECT p_partkey, list({'i': i, 'e': i + n, 'name': name} ORDER BY i, n DESC, name) AS hs FROM hits GROUP BY p_partkey),
+picked AS (SELECT p_partkey, list_reduce(list_transform(hs, lambda h: {'e': h.e, 'i': h.i, 'names': [h.name]}), lambda a, h: CASE WHEN h.i >= a.e AND NOT list_contains(a.names, h.names[1]) THEN {'e': h.e, 'i': 0::BIGINT, 'names': a.names || h.names} ELSE a END, {'e': 0::BIGINT, 'i': 0::BIGINT, 'names': []::VARCHAR[]}).names AS names FROM sorted)
+"""
+
+
+def _asked(spark, sf_dir):
+    (part,) = tables(spark, sf_dir, "part")
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    made = F.when(k == 0, F.concat(name, F.lit(" and evolved rings"))).when(k == 1, F.concat(F.lit("比较 hero螺栓英雄 "), name)).when(k == 2, F.concat(F.lit("SMALL.RING, smallring or ring_evolution of "), name)).when(k == 3, F.concat(name, F.lit("ring bolts"))).otherwise(name)
+    return part.select("p_partkey", made.alias("text"))
+
+
+@register("r131_resolved_names", "SELECT p_partkey, coalesce(array_to_string(names, ','), '') AS names FROM clean LEFT JOIN picked USING (p_partkey)", ALIASES_SQL)
 def resolved_names(spark, sf_dir):
-    names = tx.resolve_names({"ring": "Ring", "small ring": "Small Ring", "red-widget": "Red Widget", "widget": "Widget"})
-    return tables(spark, sf_dir, "part")[0].select("p_partkey", names("p_name").alias("names"))
+    aliases = nm.catalogue(spark.createDataFrame(NAMES, "name string, alias string, at int"))
+    return _asked(spark, sf_dir).select("p_partkey", F.array_join(nm.resolve_names(nm.unshared(aliases))("text"), ",").alias("names"))
+
+
+@register("r207_alias_catalogue", "SELECT alias, count(*) AS names FROM aliases GROUP BY alias", ALIASES_SQL)
+def alias_catalogue(spark, sf_dir):
+    """All aliases with the number of names that have them."""
+    aliases = nm.catalogue(spark.createDataFrame(NAMES, "name string, alias string, at int"))
+    return aliases.groupBy("alias").agg(F.count("*").alias("names"))
+
+
+#: Two names begin or end with a word that is displayed, too.
+DISPLAYED = {"Red Widget": "红件", "Large Gear": "大齿轮", "Large": "大", "Small": "小", "Economy": "经济", "Gear": "齿轮"}
+DISPLAYED_SQL = "text"
+for _name in sorted(DISPLAYED, key=len, reverse=True):
+    DISPLAYED_SQL = f"regexp_replace({DISPLAYED_SQL}, '\\b{_name.lower()}\\b', '{DISPLAYED[_name]}', 'gi')"
+
+
+@register("r137_displayed_answers", f"SELECT p_partkey, trim({DISPLAYED_SQL}) AS answer FROM (SELECT p_partkey, '要点' || chr(10) || '- ' || p_name || ' of ' || p_type || chr(10) || 'Sources of ' || upper(p_name) AS text FROM part)")
+def displayed_answers(spark, sf_dir):
+    """Answers about parts without markup, with names as they are displayed."""
+    (part,) = tables(spark, sf_dir, "part")
+    raw = F.concat(F.lit("## Summary：\n* **"), "p_name", F.lit("** of "), "p_type", F.lit("\n### Sources of "), F.upper("p_name"))
+    return part.select("p_partkey", nm.replace_names(DISPLAYED)(nm.plain_answer(raw, {"summary": "要点"})).alias("answer"))
 
 
 @register("r129_broken_percent", "SELECT event_id, event_id % 4 = 0 AS broken FROM events")

@@ -32,9 +32,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id") ->
 
     Statistics cover all of ``docs``. A term in more than half of them would weigh negatively and gets EPSILON times the mean weight
     instead. Document frequencies, the number of documents and their mean length come from one partial aggregation by term; postings are made
-    of asked terms only, which are sent to the documents as long as they are few.
+    of asked terms only, which are sent to the documents as long as they are few. A null text is an empty document.
     """
-    lists = docs.select(F.col(id_col).alias("id"), tokens(F.col("text")).alias("toks"))
+    lists = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
     # the row without a term stands for the document itself
     terms = lists.select(F.size("toks").alias("dl"), F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit(None).cast("string")))).alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))

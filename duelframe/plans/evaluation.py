@@ -12,7 +12,7 @@ from duelframe.sources.matches import tables
 RANKING_SQL = """
 ranked AS (SELECT l_orderkey AS case_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS rn FROM lineitem),
 cases AS (SELECT case_id, min(l_partkey) AS relevant, list(l_partkey ORDER BY rn) AS retrieved FROM ranked GROUP BY case_id),
-scored AS (SELECT case_id, coalesce(list_position(retrieved[1:3], relevant), 0) AS pos FROM cases),
+scored AS (SELECT case_id, coalesce(list_position(retrieved[1:5], relevant), 0) AS pos FROM cases),
 scores AS (SELECT case_id, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS recall_at_k, CASE WHEN pos > 0 THEN 1.0::DOUBLE / pos ELSE 0.0::DOUBLE END AS reciprocal_rank FROM scored),
 halves AS (SELECT user_id, avg(value) FILTER (WHERE event_id % 2 = 0) AS b, avg(value) FILTER (WHERE event_id % 2 = 1) AS t FROM events GROUP BY user_id)
 """
@@ -33,12 +33,12 @@ def latency(spark, sf_dir):
 
 @register("r94_case_scores", "SELECT * FROM scores", RANKING_SQL)
 def case_scores(spark, sf_dir):
-    return ev.case_scores(_cases(spark, sf_dir), 3)
+    return ev.case_scores(_cases(spark, sf_dir), 5)
 
 
 @register("r94_ranking_summary", "SELECT count(*) AS cases, sum(recall_at_k)::BIGINT AS hits, round(avg(recall_at_k), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM scores", RANKING_SQL)
 def ranking_summary(spark, sf_dir):
-    return ev.ranking_summary(ev.case_scores(_cases(spark, sf_dir), 3))
+    return ev.ranking_summary(ev.case_scores(_cases(spark, sf_dir), 5))
 
 
 @register("r93_paired_effect", "SELECT count(*) AS pairs, round(avg(t - b), 6) AS mean_difference, round(avg(t - b) / stddev_samp(t - b), 6) AS effect FROM halves WHERE b IS NOT NULL AND t IS NOT NULL", RANKING_SQL)

@@ -155,9 +155,21 @@ def validated(spark, sf_dir):
     return ev.validate(_some(spark, sf_dir), spark.createDataFrame([("all",)], "dataset_scope string"))
 
 
-@register("r136_boundaries", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'guaranteed_outcome' WHEN 1 THEN 'future_forecast' WHEN 2 THEN 'exact_probability' WHEN 3 THEN 'causal_effect' WHEN 4 THEN 'historical_trend' END AS code FROM events")
+_ASKED = ("给我 90% 胜率的卡组", "下个 版本", "精确 概率", "换成火球会让胜率", "最近三周", "必胜", "预测", "近7天使用率", "下周吃什么", "TOP 10")
+_ASKED_MORE = ("环境怎么样", "提高多少", "使用率走势", "保证大家都能赢", "的准确胜率", "排名", "导致 胜率变化", "曲线", "", "?")
+
+
+def _rule(*patterns: str) -> str:
+    return " AND ".join(f"regexp_matches(t, '{p}')" for p in patterns)
+
+
+_BOUNDARY_SQL = f"CASE WHEN {_rule(tx.GUARANTEED)} THEN 'guaranteed_outcome' WHEN {_rule(tx.FORECAST)} OR ({_rule(tx.FUTURE, tx.TARGET)}) THEN 'future_forecast' WHEN {_rule(tx.EXACT)} THEN 'exact_probability' WHEN {_rule(tx.CAUSE)} OR {_rule(tx.SWAP)} THEN 'causal_effect' WHEN {_rule(tx.PAST, tx.TREND)} THEN 'historical_trend' END"
+
+
+@register("r136_boundaries", f"SELECT event_id, {_BOUNDARY_SQL} AS code FROM (SELECT event_id, lower(regexp_replace({list(_ASKED)!r}[event_id % 10 + 1] || {list(_ASKED_MORE)!r}[event_id // 10 % 10 + 1], '\\s+', '', 'g')) AS t FROM events)")
 def boundaries(spark, sf_dir):
+    """A hundred questions of two parts each."""
     (events,) = src.tables(spark, sf_dir, "events")
-    asked = ("给我 90% 胜率的卡组", "下个版本环境怎么样", "这套的精确概率", "换成火球会让胜率提高多少", "最近三周使用率走势", "使用率前十")
-    text = F.element_at(F.array(*map(F.lit, asked)), (F.col("event_id") % 6 + 1).cast("int"))
+    at = [(F.col("event_id") % 10 + 1).cast("int"), (F.floor(F.col("event_id") / 10) % 10 + 1).cast("int")]
+    text = F.concat(*[F.element_at(F.array(*map(F.lit, parts)), i) for parts, i in zip((_ASKED, _ASKED_MORE), at)])
     return events.select("event_id", tx.unsupported_analysis(text).alias("code"))

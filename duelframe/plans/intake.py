@@ -167,10 +167,13 @@ def display_names(spark, sf_dir):
     return audit.decorated(items, aliases, "item")
 
 
-@register("r212_document_stats", "SELECT coalesce(s, lang) AS dataset_scope, coalesce(n, c) AS documents, CASE WHEN n IS NULL THEN 'derived' ELSE 'published' END AS origin FROM (SELECT lang, count(*) AS c FROM documents GROUP BY lang) FULL JOIN (VALUES ('en', 7::BIGINT), ('none', 3::BIGINT)) t(s, n) ON s = lang")
+@register("r212_document_stats", "SELECT coalesce(s, lang) AS dataset_scope, coalesce(n, c) AS documents, CASE WHEN n IS NULL THEN 'derived' ELSE 'published' END AS origin FROM (SELECT lang, count(*) AS c FROM documents GROUP BY lang) FULL JOIN (SELECT lang AS s, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE lang < 'f' GROUP BY lang UNION ALL SELECT 'none', count(*) FROM labels WHERE toxic = 1) t ON s = lang")
 def document_stats(spark, sf_dir):
-    docs = src.tables(spark, sf_dir, "documents")[0].select(F.col("lang").alias("dataset_scope"))
-    return audit.document_stats(spark.createDataFrame([("en", 7), ("none", 3)], "dataset_scope string, documents long"), docs)
+    """Counts are published for two languages and for a scope without documents, and derived for the others."""
+    docs, labels = src.tables(spark, sf_dir, "documents", "labels")
+    told = docs.join(labels, "doc_id").where("lang < 'f'").groupBy(F.col("lang").alias("dataset_scope")).agg(F.count("*").alias("documents"))
+    none = labels.where("toxic = 1").agg(F.count("*").alias("documents")).select(F.lit("none").alias("dataset_scope"), "documents")
+    return audit.document_stats(told.unionByName(none), docs.select(F.col("lang").alias("dataset_scope")))
 
 
 @register("r19_typed_records", "SELECT event_id FROM events WHERE event_id % 4 < 2")

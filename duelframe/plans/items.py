@@ -108,9 +108,9 @@ def item_detail(spark, sf_dir):
     return q.item_detail(stats.teammates(sides), stats.opponents(sides), "PROMO")
 
 
-@sql("r110_teammate_ranking", "SELECT row_number() OVER (ORDER BY games DESC, teammate)::INT AS rank, teammate, games, clean_win_rate, sum(games) OVER ()::BIGINT AS matched_sample_count FROM (SELECT teammate, games, round(CASE WHEN wins + losses = 0 THEN 0.0 ELSE wins * 100.0::DOUBLE / (wins + losses) END, 6) AS clean_win_rate FROM teammates WHERE item = 'PROMO' ORDER BY games DESC, teammate LIMIT 3)")
+@sql("r110_teammate_ranking", "SELECT row_number() OVER (ORDER BY games DESC, teammate)::INT AS rank, teammate, games, clean_win_rate, sum(games) OVER ()::BIGINT AS matched_sample_count FROM (SELECT teammate, games, round(CASE WHEN wins + losses = 0 THEN 0.0 ELSE wins * 100.0::DOUBLE / (wins + losses) END, 6) AS clean_win_rate FROM teammates WHERE item = 'PROMO' ORDER BY games DESC, teammate LIMIT 10)")
 def teammate_ranking(spark, sf_dir):
-    return q.teammate_ranking(stats.teammates(_sides(spark, sf_dir)), "PROMO", 3)
+    return q.teammate_ranking(stats.teammates(_sides(spark, sf_dir)), "PROMO", 10)
 
 
 @sql("r111_deck_profile", "SELECT * FROM (SELECT row_number() OVER (PARTITION BY deck ORDER BY rate DESC, games DESC, deck_a, deck_b)::INT AS rank, deck, opponent_deck, games, wins, losses, draws, round(rate, 6) AS win_rate FROM dclean) WHERE rank <= 10")
@@ -139,9 +139,9 @@ def pair_stats(spark, sf_dir):
     return q.pair_stats(stats.teammates(sides), stats.item_counts(sides), "PROMO", "SMALL")
 
 
-@sql("r168_deck_matchup", "SELECT deck, opponent_deck, games, wins, losses, draws, round(rate, 6) AS win_rate_a, CASE WHEN wins + losses > 0 THEN round(100 - round(rate, 6), 6) ELSE 0.0 END AS win_rate_b, round(score::DOUBLE / games, 6) AS avg_score_a, round(opponent_score::DOUBLE / games, 6) AS avg_score_b FROM dclean WHERE games >= 4")
+@sql("r168_deck_matchup", "SELECT deck, opponent_deck, games, wins, losses, draws, round(rate, 6) AS win_rate_a, CASE WHEN wins + losses > 0 THEN round(100 - round(rate, 6), 6) ELSE 0.0 END AS win_rate_b, round(score::DOUBLE / games, 6) AS avg_score_a, round(opponent_score::DOUBLE / games, 6) AS avg_score_b FROM dclean")
 def deck_matchup(spark, sf_dir):
-    return q.matchup_view(stats.directional(stats.matchups(src.valid(src.matches(spark, sf_dir)))).where("games >= 4"))
+    return q.matchup_view(stats.directional(stats.matchups(src.valid(src.matches(spark, sf_dir)))))
 
 
 @sql("r79_one_sided_snapshot", "SELECT item, count(*) AS games, sum(w)::BIGINT AS wins, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM valid), 1) AS usage_rate, round(sum(w) * 100.0::DOUBLE / count(*), 1) AS win_rate FROM (SELECT unnest(deck) AS item, w FROM sides WHERE side = 'team') GROUP BY item")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from duelframe.operators import dense
 from duelframe.operators import documents as dc
 from duelframe.operators import evaluation as ev
 from duelframe.operators import loadouts as lo
@@ -27,26 +28,27 @@ def dedupe_baseline(spark, sf_dir):
     return keys.agg(F.sum("n").cast("long").alias("before"), F.count("*").alias("after"), (F.sum("n") - F.count("*")).cast("long").alias("duplicates"))
 
 
-@register("r108_moving_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
+@register("r108_moving_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events")
 def moving_rate(spark, sf_dir):
-    """Requests of a client in the twelve hours up to each one."""
+    """Requests of a client in the minute up to each one."""
     (events,) = tables(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-12 * 3600 * 1_000_000, 0)
+    own = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-60 * 1_000_000, 0)
     return events.withColumn("_at", at).select("event_id", F.count("*").over(own).alias("recent"))
 
 
 @register(
     "r124_rerank",
-    "SELECT id, round(0.55::DOUBLE * base + 0.25::DOUBLE * lex + 0.20::DOUBLE * bonus, 6) AS rerank_score FROM (SELECT bm.id, score / 100.0::DOUBLE AS base, CASE WHEN d.source = 'src1' THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS bonus, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')), regexp_extract_all(lower(d.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]'))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')))::DOUBLE AS lex FROM bm JOIN benchmark b ON b.item_id = bm.qid JOIN documents d ON d.doc_id = bm.id WHERE qid = 0) ORDER BY rerank_score DESC, id LIMIT 8",
+    "SELECT qid, id, rank, round(s, 6) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM (SELECT qid, bm.id, round(0.55::DOUBLE * (score / 100.0::DOUBLE) + 0.25::DOUBLE * (len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')), regexp_extract_all(lower(d.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]'))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')))::DOUBLE) + 0.20::DOUBLE * CASE WHEN d.source = 'src1' THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END, 9) AS s FROM bm JOIN benchmark b ON b.item_id = bm.qid JOIN documents d ON d.doc_id = bm.id)) WHERE rank <= 8",
     BM25_SQL,
 )
 def rerank(spark, sf_dir):
     docs, bench = tables(spark, sf_dir, "documents", "benchmark")
-    rows = _bm25(spark, sf_dir).where("qid = 0").withColumn("base", F.col("score") / 100.0).join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
-    asked = rows.join(bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
-    found = rt.rerank(asked, F.col("question"), F.when(F.col("source") == "src1", 0.45).otherwise(0.0), 8)
-    return found.select("id", F.round("rerank_score", 6).alias("rerank_score"))
+    found = _bm25(spark, sf_dir).withColumn("score", F.col("score") / 100.0)
+    questions = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text", "source")
+    best = dense.reranked(found, questions, texts, F.when(F.col("source") == "src1", 0.45).otherwise(0.0), 8)
+    return best.select("qid", "id", "rank", F.round("score", 6).alias("rerank_score"))
 
 
 @register("r157_retrieval_cases", "SELECT 'case:' || source || ':' || rn AS case_id, doc_id AS relevant_doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 12")
@@ -76,11 +78,12 @@ def answer_payload(spark, sf_dir):
     return items.select(F.row_number().over(Window.orderBy(F.desc("usage_rate"), "item")).alias("rank"), "item", "usage_rate", F.col("clean_win_rate").alias("win_rate"))
 
 
-@register("r219_gate_policy", "SELECT batch_id, least(ranked_target, 40) AS ranked_target, least(top_rank_target, 3) AS top_rank_target FROM raw_batches", SCOPED)
+@register("r219_gate_policy", "SELECT batch_id, least(1000, count(DISTINCT observer_tag) FILTER (WHERE observer_rank IS NOT NULL)) AS ranked_target, least(100, count(DISTINCT observer_tag) FILTER (WHERE observer_rank <= 100)) AS top_rank_target FROM obs GROUP BY batch_id", SCOPED)
 def gate_policy(spark, sf_dir):
-    """Targets never above what a short leaderboard can give."""
-    batches = ob.load(spark, sf_dir)[2]
-    return batches.select("batch_id", F.least("ranked_target", F.lit(40)).alias("ranked_target"), F.least("top_rank_target", F.lit(3)).alias("top_rank_target"))
+    """Targets of a batch never above what its leaderboard gave: 1,000 ranked observers, 100 of the first hundred ranks."""
+    seen = ob.load(spark, sf_dir)[1]
+    ranked, top = (F.countDistinct(F.when(test, F.col("observer_tag"))) for test in (F.col("observer_rank").isNotNull(), F.col("observer_rank") <= 100))
+    return seen.groupBy("batch_id").agg(F.least(F.lit(1000), ranked).alias("ranked_target"), F.least(F.lit(100), top).alias("top_rank_target"))
 
 
 @register("r172_loadout_catalog", "SELECT x.id AS item, count(*) FILTER (WHERE x.evolution > 0) > 0 AS evolves, count(*) FILTER (WHERE x.elite) > 0 AS elite FROM (SELECT unnest(items) AS x FROM fs) GROUP BY x.id", LOADOUTS)

@@ -157,7 +157,7 @@ def metrics(spark, sf_dir):
 _PAIRED_SQL = RANKING_SQL.strip() + """,
 ranked2 AS (SELECT l_orderkey AS case_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) AS rn FROM lineitem),
 cases2 AS (SELECT case_id, min(l_partkey) AS relevant, list(l_partkey ORDER BY rn) AS retrieved FROM ranked2 GROUP BY case_id),
-scores2 AS (SELECT case_id, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS recall_at_k, CASE WHEN pos > 0 THEN 1.0::DOUBLE / pos ELSE 0.0::DOUBLE END AS reciprocal_rank FROM (SELECT case_id, coalesce(list_position(retrieved[1:3], relevant), 0) AS pos FROM cases2)),
+scores2 AS (SELECT case_id, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS recall_at_k, CASE WHEN pos > 0 THEN 1.0::DOUBLE / pos ELSE 0.0::DOUBLE END AS reciprocal_rank FROM (SELECT case_id, coalesce(list_position(retrieved[1:5], relevant), 0) AS pos FROM cases2)),
 both_runs AS (SELECT 'recall_at_k' AS metric, a.recall_at_k::DOUBLE AS b, c.recall_at_k::DOUBLE AS t FROM scores a JOIN scores2 c USING (case_id) UNION ALL SELECT 'reciprocal_rank', a.reciprocal_rank, c.reciprocal_rank FROM scores a JOIN scores2 c USING (case_id))
 """
 
@@ -169,6 +169,6 @@ def paired(spark, sf_dir):
 
     def run(by: str):
         order = F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("p"), F.col("l_partkey").alias("k"))))
-        return ev.case_scores(lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min("l_partkey").alias("relevant"), F.transform(order, lambda x: x["k"]).alias("retrieved")), 3)
+        return ev.case_scores(lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min("l_partkey").alias("relevant"), F.transform(order, lambda x: x["k"]).alias("retrieved")), 5)
 
     return ev.paired_report(run("l_extendedprice"), run("l_quantity"))

@@ -1,9 +1,11 @@
-"""Retrieval queries: benchmark texts asked of the documents, and one vector of the embeddings."""
+"""Retrieval queries: benchmark texts asked of the documents, and every hundredth vector of the embeddings."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from duelframe.operators import dense as dn
 from duelframe.operators import retrieval as rt
 from duelframe.plans.registry import query as register
 from duelframe.sources.matches import tables
@@ -18,10 +20,9 @@ asked AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest(l
 weights AS (SELECT qid, term, qn * CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END AS weight FROM asked JOIN raw USING (term), mean),
 scored AS (SELECT qid, id, round(sum(weight * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM post JOIN weights USING (term), shape GROUP BY qid, id),
 bm AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, score FROM scored) WHERE rank <= 20),
-qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-cs AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, qv),
-dn AS (SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM cs ORDER BY score DESC, id LIMIT 20),
-fused AS (SELECT id, b.rank AS rank_first, d.rank AS rank_second, round(61 * (coalesce(0.5::DOUBLE / (60 + b.rank), 0.0) + coalesce(0.5::DOUBLE / (60 + d.rank), 0.0)), 9) AS score FROM (SELECT * FROM bm WHERE qid = 0) b FULL JOIN dn d USING (id))
+cs AS (SELECT q.vec_id AS qid, q.label AS asked, e.vec_id AS id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 OR q.vec_id IN (SELECT item_id FROM benchmark)),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM cs) WHERE rank <= 20),
+fused AS (SELECT qid, id, b.rank AS rank_first, d.rank AS rank_second, round(61 * (coalesce(0.5::DOUBLE / (60 + b.rank), 0.0) + coalesce(0.5::DOUBLE / (60 + d.rank), 0.0)), 9) AS score FROM bm b FULL JOIN (SELECT * FROM dn WHERE qid IN (SELECT item_id FROM benchmark)) d USING (qid, id))
 """
 
 
@@ -34,10 +35,10 @@ def _bm25(spark, sf_dir, k=20):
     return rt.bm25(docs, bench.select(F.col("item_id").alias("qid"), "text"), k)
 
 
-def _dense(spark, sf_dir, k=20, where=None):
+def _dense(spark, sf_dir, k=20):
+    """The best ``k`` of every hundredth vector."""
     (vectors,) = tables(spark, sf_dir, "embeddings")
-    query = vectors.where("vec_id = 0").select("embedding").first()
-    return rt.dense(vectors, query["embedding"], k, where=where)
+    return dn.search(vectors, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), k)
 
 
 @sql("r144_bm25", "SELECT * FROM bm WHERE rank <= 10")
@@ -45,17 +46,19 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir, 10)
 
 
-@sql("r145_dense", "SELECT rank, id, score FROM dn")
+@sql("r145_dense", "SELECT qid, rank, id, score FROM dn WHERE qid % 100 = 0")
 def dense(spark, sf_dir):
     return _dense(spark, sf_dir)
 
 
-@sql("r146_dense_post_filter", "SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM (SELECT c.* FROM (SELECT * FROM cs ORDER BY score DESC, id LIMIT 20) c JOIN embeddings ON vec_id = id WHERE label IS NULL OR label = (SELECT label FROM embeddings WHERE vec_id = 0)) ORDER BY score DESC, id LIMIT 5")
+@sql("r146_dense_post_filter", "SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank, id, score FROM dn WHERE qid % 100 = 0 AND (label IS NULL OR label = asked)) WHERE rank <= 5")
 def dense_filtered(spark, sf_dir):
     """The label filter applies after the cut to 20, so fewer than 5 may be left."""
     (vectors,) = tables(spark, sf_dir, "embeddings")
-    label = vectors.where("vec_id = 0").select("label").first()["label"]
-    return _dense(spark, sf_dir, 5, where=F.col("label").isNull() | (F.col("label") == label))
+    labels = vectors.select(F.col("vec_id").alias("id"), "label")
+    rows = _dense(spark, sf_dir).join(labels, "id").join(labels.select(F.col("id").alias("qid"), F.col("label").alias("asked")), "qid")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return rows.where("label IS NULL OR label = asked").withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("qid", "rank", "id", "score")
 
 
 @sql("r125_min_max", "SELECT qid, id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS normalised FROM bm WINDOW w AS (PARTITION BY qid)")
@@ -63,9 +66,12 @@ def min_max(spark, sf_dir):
     return rt.min_max(_bm25(spark, sf_dir), "qid").select("qid", "id", "score", F.col("normalised"))
 
 
-@sql("r147_fusion", "SELECT * FROM fused ORDER BY score DESC, rank_first NULLS LAST, rank_second LIMIT 15")
+@sql("r147_fusion", "SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank_first NULLS LAST, rank_second)::INT AS rank, id, score FROM fused) WHERE rank <= 15")
 def fusion(spark, sf_dir):
-    return rt.reciprocal_rank_fusion(_bm25(spark, sf_dir).where("qid = 0"), _dense(spark, sf_dir)).limit(15)
+    """Every text of the benchmark with the vector of its number."""
+    vectors, bench = tables(spark, sf_dir, "embeddings", "benchmark")
+    asked = vectors.join(bench.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "qid")
+    return dn.fused(_bm25(spark, sf_dir), dn.search(vectors, asked, 20), 15)
 
 
 @sql("r122_lexical_overlap", "SELECT b.item_id, d.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')), regexp_extract_all(lower(d.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]'))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_.-]+|[\\x{4e00}-\\x{9fff}]')))::DOUBLE, 9) AS overlap FROM bm JOIN benchmark b ON b.item_id = bm.qid JOIN documents d ON d.doc_id = bm.id")
@@ -82,10 +88,11 @@ def diverse(spark, sf_dir):
     return rt.diverse(rows, 8).select("qid", "id", "pick")
 
 
-@sql("r148_lanes", "SELECT qid, id, max(score) AS score, array_to_string(list_sort(list_distinct(list(lane))), ',') AS lanes FROM (SELECT qid, id, score, 0 AS lane FROM bm UNION ALL SELECT qid, id, score, 1 FROM bm WHERE rank <= 5 UNION ALL SELECT qid, id, score * 0.5::DOUBLE, 2 FROM bm WHERE id % 2 = 0) GROUP BY qid, id")
+@sql("r148_lanes", "SELECT qid, id, max(score) AS score, array_to_string(list_sort(list_distinct(list(lane))), ',') AS lanes FROM (SELECT qid, id, score, 0 AS lane FROM bm UNION ALL SELECT qid, id, score, 1 FROM bm WHERE rank <= 5 UNION ALL SELECT qid, bm.id, score * 0.5::DOUBLE, 2 FROM bm JOIN dt USING (id) WHERE source = 'src1') GROUP BY qid, id")
 def lanes(spark, sf_dir):
     rows = _bm25(spark, sf_dir)
-    typed = rows.where("id % 2 = 0").withColumn("score", F.col("score") * 0.5)
+    (docs,) = tables(spark, sf_dir, "documents")
+    typed = rows.join(docs.where("source = 'src1'").select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("score", F.col("score") * 0.5)
     cols = ("qid", "id", "score")
     found = rt.lanes(rows.select(*cols), rows.where("rank <= 5").select(*cols), typed.select(*cols))
     return found.withColumn("lanes", F.array_join(F.transform("lanes", lambda x: x.cast("string")), ","))

@@ -33,17 +33,34 @@ def top_n_and_rank(spark, sf_dir):
     return _questions(spark, sf_dir).select("p_partkey", tx.top_n(F.col("text")).alias("top_n"), tx.rank_target(F.col("text")).alias("rank"))
 
 
-@register("r133_metric_and_date", f"SELECT p_partkey, 'win_rate' AS metric, '2026-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || '-07' AS day FROM ({QUESTION})")
+_METRIC_WORDS = ("净胜率", "win rate or usage rate", "胜率", "how many appearances", "Clean_Win_Rate", "rating", "sample of games", "USAGE RATE")
+_DATES = ("on 2026/%d/7", "2025年%d月31日", "2024-%d-09 or 2023-01-01", "2022.%d.5", "in week %d")
+_DAY = r"(\d{4})[-/年.](\d{1,2})[-/月.](\d{1,2})"
+_METRIC_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {a!r})' for a in aliases)} THEN '{name}'" for name, aliases in tx.METRIC_NAMES.items()) + " ELSE 'usage_rate' END"
+
+
+@register("r133_metric_and_date", f"SELECT p_partkey, {_METRIC_SQL} AS metric, CASE WHEN y <> '' THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') END AS day FROM (SELECT *, regexp_extract(text, '{_DAY}', 1) AS y, regexp_extract(text, '{_DAY}', 2) AS m, regexp_extract(text, '{_DAY}', 3) AS d FROM (SELECT p_partkey, {list(_METRIC_WORDS)!r}[p_partkey % 8 + 1] || ' of ' || p_name || ' ' || printf({list(_DATES)!r}[p_partkey % 5 + 1], p_partkey % 12 + 1) AS text FROM part))")
 def metric_and_date(spark, sf_dir):
-    return _questions(spark, sf_dir).select("p_partkey", tx.metric(F.col("text")).alias("metric"), tx.iso_date(F.col("text")).alias("day"))
+    """Metrics under several names, two of them in one text, and dates of four kinds, two in one text, or none."""
+    k = F.col("p_partkey")
+    word = F.element_at(F.array(*map(F.lit, _METRIC_WORDS)), (k % 8 + 1).cast("int"))
+    day = F.replace(F.element_at(F.array(*map(F.lit, _DATES)), (k % 5 + 1).cast("int")), F.lit("%d"), (k % 12 + 1).cast("string"))
+    text = F.concat(word, F.lit(" of "), "p_name", F.lit(" "), day)
+    return tables(spark, sf_dir, "part")[0].select("p_partkey", tx.metric(text).alias("metric"), tx.iso_date(text).alias("day"))
 
 
-@register("r126_numeric_facts", "SELECT event_id, 2 AS facts, rtrim(rtrim(printf('%.2f', value), '0'), '.') AS first_value FROM events")
+@register("r126_numeric_facts", r"SELECT event_id, len(list_distinct(fs))::INT AS facts, array_to_string(list_sort(list_distinct(fs)), ' ') AS all_facts FROM (SELECT event_id, list_transform(regexp_extract_all(text, '(?i)(?:^| )((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?:%|games?|battles?|appearances?|场|次))', 1), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(replace(regexp_extract(x, '^[\d.,]+'), ',', ''), '0'), '.') ELSE replace(regexp_extract(x, '^[\d.,]+'), ',', '') END || CASE WHEN contains(x, '%') THEN '%' WHEN contains(lower(x), 'appear') OR contains(x, '次') THEN '次' ELSE '场' END) AS fs FROM (SELECT event_id, event_type || ' ' || printf('%.2f', value) || '%' || CASE event_id % 4 WHEN 0 THEN ' over 1,' || printf('%03d', event_id % 1000) || ' games' WHEN 1 THEN ' in ' || user_id || ' Appearances and ' || user_id || '.0 次' WHEN 2 THEN ' v' || user_id || ' games, ' || user_id || ' of them' ELSE ' 7 battles 07 battles 7 场' END AS text FROM events))")
 def numeric_facts(spark, sf_dir):
+    """Numbers with separators, in two spellings of one unit, after a letter (none) and without a unit (none)."""
     (events,) = tables(spark, sf_dir, "events")
-    text = F.concat(F.lit("usage rate "), F.format_string("%.2f", "value"), F.lit("% over 1,"), F.format_string("%03d", F.col("event_id") % 1000), F.lit(" games"))
-    facts = tx.numeric_facts(text)
-    return events.select("event_id", F.size(facts).alias("facts"), facts[0]["value"].alias("first_value"))
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    tail = (
+        F.when(k == 0, F.concat(F.lit(" over 1,"), F.format_string("%03d", F.col("event_id") % 1000), F.lit(" games")))
+        .when(k == 1, F.concat(F.lit(" in "), user, F.lit(" Appearances and "), user, F.lit(".0 次")))
+        .when(k == 2, F.concat(F.lit(" v"), user, F.lit(" games, "), user, F.lit(" of them"))).otherwise(" 7 battles 07 battles 7 场")
+    )
+    facts = tx.numeric_facts(F.concat("event_type", F.lit(" "), F.format_string("%.2f", "value"), F.lit("%"), tail))
+    return events.select("event_id", F.size(facts).alias("facts"), F.array_join(F.sort_array(F.transform(facts, lambda f: F.concat(f["value"], f["unit"]))), " ").alias("all_facts"))
 
 
 #: Names with their aliases, among them forms whose aliases are made, and two that begin alike.
@@ -101,19 +118,26 @@ def displayed_answers(spark, sf_dir):
     return part.select("p_partkey", nm.replace_names(DISPLAYED)(nm.plain_answer(raw, {"summary": "要点"})).alias("answer"))
 
 
-@register("r129_broken_percent", "SELECT event_id, event_id % 4 = 0 AS broken FROM events")
+_RATES = ("win rate NaN %", "none%", "usage Null  %", "banan%", "nan", "5 %", "win rate 5% none", "(NONE%)")
+_CITED = ("snapshot:a1", "Supercell-x:zz", "official:b2|", "other_9:`q`", "plain", "unofficial:b2", "snapshot:a1;snapshot:c3", "OFFICIAL:b2")
+_ALLOWED = ("snapshot:a1", "official:b2")
+
+
+@register("r129_broken_percent", f"SELECT event_id, regexp_matches(text, '(?i)\\b(none|null|nan)\\s*%') AS broken FROM (SELECT event_id, event_type || ' ' || {list(_RATES)!r}[event_id % 8 + 1] || ' ' || value AS text FROM events)")
 def broken_percent(spark, sf_dir):
+    """Percentages that are no numbers, also in brackets, and words that only end like them."""
     (events,) = tables(spark, sf_dir, "events")
-    text = F.when(F.col("event_id") % 4 == 0, "win rate NaN %").otherwise("win rate 5 %")
-    return events.select("event_id", tx.has_broken_percent(text).alias("broken"))
+    rate = F.element_at(F.array(*map(F.lit, _RATES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return events.select("event_id", tx.has_broken_percent(F.concat("event_type", F.lit(" "), rate, F.lit(" "), F.col("value").cast("string"))).alias("broken"))
 
 
-@register("r128_citations", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS unknown FROM events")
+@register("r128_citations", f"SELECT event_id, len(list_filter(list_distinct(regexp_extract_all(text, '(?i)\\b((?:supercell|snapshot|official|other)[\\w-]*:[^\\s|`]+)', 1)), lambda x: x NOT IN {_ALLOWED!r}))::INT AS unknown FROM (SELECT event_id, {list(_CITED)!r}[event_id % 8 + 1] || ' and ' || {list(_CITED)!r}[user_id % 8 + 1] || ', ' || event_type AS text FROM events)")
 def citations(spark, sf_dir):
+    """Two citations of eight kinds: known, unknown, ended by a bar or a quote, in other case, two without a blank, none."""
     (events,) = tables(spark, sf_dir, "events")
-    text = F.concat(F.lit("see snapshot:a1 and "), F.when(F.col("event_id") % 5 == 0, "Supercell-x:zz").otherwise("official:b2"))
-    allowed = F.array(F.lit("snapshot:a1"), F.lit("official:b2"))
-    return events.select("event_id", F.size(tx.unknown_citations(text, allowed)).alias("unknown"))
+    cited = [F.element_at(F.array(*map(F.lit, _CITED)), (F.col(c) % 8 + 1).cast("int")) for c in ("event_id", "user_id")]
+    text = F.concat(cited[0], F.lit(" and "), cited[1], F.lit(", "), "event_type")
+    return events.select("event_id", F.size(tx.unknown_citations(text, F.array(*map(F.lit, _ALLOWED)))).alias("unknown"))
 
 
 @register("r138_local_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, (ts + INTERVAL 8 HOUR)::DATE AS local_day FROM events")
@@ -152,9 +176,12 @@ def item_documents(spark, sf_dir):
     return made.where("source_type <> 'deck'").select("doc_id", "source_type", "text")
 
 
-@register("r160_document_checks", "SELECT count(*) AS documents, 0 AS malformed FROM (SELECT item FROM item_stats UNION ALL SELECT deck_signature FROM decks)", BASE)
+@register("r160_document_checks", "SELECT count(*) AS documents, (count(*) FILTER (WHERE length(doc_id) % 3 <> 1))::INT AS malformed FROM (SELECT 'snapshot:item:' || item AS doc_id FROM item_stats UNION ALL SELECT 'snapshot:pair:' || item || '+' || teammate FROM teammates WHERE item < teammate)", BASE)
 def document_checks(spark, sf_dir):
+    """Two thirds of the documents, by the length of their id, are blank or hold a percentage that is no number."""
     sides = matches.sides(matches.valid(matches.matches(spark, sf_dir)))
-    made = documents.all_documents(documents.item_documents(stats.item_stats(sides)), documents.deck_documents(stats.deck_stats(sides)))
+    made = documents.all_documents(documents.item_documents(stats.item_stats(sides)), documents.pair_documents(stats.teammates(sides)))
+    kind = F.length("doc_id") % 3
+    made = made.withColumn("text", F.when(kind == 0, " ").when(kind == 2, F.concat("text", F.lit(" null %"))).otherwise(F.col("text")))
     bad = documents.malformed(made).agg(F.count("*").cast("int").alias("malformed"))
     return made.agg(F.count("*").alias("documents")).crossJoin(bad)

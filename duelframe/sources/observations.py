@@ -13,9 +13,8 @@ UNIT_DAYS = 20
 
 
 def now_of(batches: DataFrame) -> Column:
-    """The reference time as a column: the day after the last completion."""
-    last = batches.agg(F.max("completed_at").alias("t")).first()["t"]
-    return F.lit(last) + F.expr("INTERVAL 1 DAY")
+    """The reference time as a column: the day after the last completion, a scalar subquery of the plan that uses it."""
+    return batches.agg((F.max("completed_at") + F.expr("INTERVAL 1 DAY")).alias("t")).scalar()
 
 
 def observations(rows: DataFrame, customers: DataFrame) -> DataFrame:

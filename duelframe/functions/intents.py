@@ -49,9 +49,8 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 def intents(text: Column, names: Column) -> Column:
     """Struct of the fifteen ``SIGNS`` of a question; ``names`` is the array of distinct names in it. A null question has none of them."""
     q, raw = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(text, F.lit(""))
-    wide = F.trim(F.regexp_replace(q, r"\s+", " "))
     named = F.coalesce(F.size(names), F.lit(0))
-    changed = _any(wide, CHANGES)
+    changed = _any(q, CHANGES)
     values = (
         _any(q, PLAYERS), _any(q, SCHEDULE), _any(q, SUMMARY_PHRASES) | (_any(q, SUMMARY) & _any(q, SUMMARY_OF)), _any(q, PREPARE_PHRASES) | (_any(q, PREPARE) & _any(q, PREPARE_FOR)), changed,
         changed | _any(q, ANALYSIS_PHRASES) | (_any(q, ANALYSIS) & (_any(q, ANALYSIS_OF) | (named > 0))), _any(q, DECKS), _any(q, CARDS) | (named > 0), _any(q, RANKING),

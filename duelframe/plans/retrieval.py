@@ -98,7 +98,10 @@ def lanes(spark, sf_dir):
     return found.withColumn("lanes", F.array_join(F.transform("lanes", lambda x: x.cast("string")), ","))
 
 
-@register("r150_compress")
+@sql("r150_compress", """SELECT qid, o.id AS id, o.rank AS rank, o.chars AS chars FROM (SELECT qid, unnest(list_reduce(list({'used': length(d.text), 'ids': [bm.id], 'texts': [d.text], 'out': [{'id': bm.id, 'rank': rank, 'chars': length(d.text)}]} ORDER BY rank),
+  lambda a, x: CASE WHEN len(a.ids) = 6 OR list_contains(a.ids, x.ids[1]) OR list_contains(a.texts, x.texts[1]) OR (len(a.ids) > 0 AND a.used + x.used > 4200) THEN a
+    ELSE {'used': a.used + x.used, 'ids': a.ids || x.ids, 'texts': a.texts || x.texts, 'out': a.out || x.out} END,
+  {'used': 0::BIGINT, 'ids': []::BIGINT[], 'texts': []::VARCHAR[], 'out': []::STRUCT(id BIGINT, rank INT, chars BIGINT)[]}).out) AS o FROM bm JOIN documents d ON d.doc_id = bm.id GROUP BY qid)""")
 def compress(spark, sf_dir):
     (docs,) = tables(spark, sf_dir, "documents")
     return rt.compress(_bm25(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), max_items=6, budget=4200)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from duelframe.functions import names as nm
 from duelframe.functions import text as tx
 from duelframe.operators import corpus as co
 from duelframe.operators import documents as dc
@@ -26,7 +27,7 @@ def test_text_expressions(spark):
     assert {tuple(f) for f in facts} == {("4.3", "%"), ("1234", "场")}
     cut = spark.range(1).select(tx.strip_references(F.lit("answer\n\n## 参考来源\n- a\nReferences")).alias("x")).first().x
     assert cut == "answer"
-    names = spark.range(1).select(tx.resolve_names({"hog rider": "Hog", "hog": "Pig", "mega-knight": "MK"})(F.lit("Mega Knight vs hog.rider")).alias("x")).first().x
+    names = spark.range(1).select(nm.resolve_names({"hog rider": "Hog", "hog": "Pig", "mega knight": "MK"})(F.lit("Mega Knight vs hog.rider")).alias("x")).first().x
     assert names == ["MK", "Hog"]
 
 

@@ -1,13 +1,13 @@
 """Numeric claims of texts as relations, and whether evidence has them.
 
 A claim is a number with its unit, the metric that is named last in the 48 characters before it, and the known entities of its sentence. Numbers and metric
-names get their positions from the lengths of what lies between them, and meet in a window over these positions; a claim without a counterpart in
-its evidence is what an anti-join leaves.
+names get their positions from the lengths of what lies between them, inside their sentence's row, so that texts are dealt out once, to meet the names that their
+evidence knows; a claim without a counterpart in its evidence is what an anti-join leaves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions import text as tx
@@ -25,56 +25,60 @@ _ALIASES = [(name, alias) for name, aliases in tx.METRIC_NAMES.items() for alias
 def known_entities(evidence: DataFrame, key: str = "evidence_id", text: str = "text") -> DataFrame:
     """Distinct (key, entity) that a text names in lines of one entity or in cells of a table."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in (ENTITY_LINE, ENTITY_CELL)])
-    rows = evidence.select(key, F.explode(found).alias("entity")).withColumn("entity", F.regexp_replace("entity", "^[ .;；]+|[ .;；]+$", ""))
+    rows = evidence.select(key, F.explode_outer(found).alias("entity")).withColumn("entity", F.regexp_replace("entity", "^[ .;；]+|[ .;；]+$", ""))
     return rows.where("entity <> ''").distinct()
 
 
 def segments(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, segment, body): the sentences of each text that hold a digit, by their number."""
-    return texts.select(*keys, F.posexplode(F.split(text, tx.SEGMENT_END)).alias("segment", "body")).where(F.col("body").rlike(r"(?U)\d"))
+    # the outer form, here and below, as Spark would compute the array once more to leave out empty ones
+    return texts.select(*keys, F.posexplode_outer(F.split(text, tx.SEGMENT_END)).alias("segment", "body")).where(F.col("body").rlike(r"(?U)\d"))
 
 
-def _placed(rows: DataFrame, keys: list[str], between: Column, found: Column) -> DataFrame:
-    """One row per hit of a pattern: its number ``k``, text ``hit`` and position ``start``, from what lies between the hits."""
-    zipped = F.transform(found, lambda x, i: F.struct(F.get(between, i).alias("gap"), x.alias("hit")))
-    hits = rows.select(*keys, F.posexplode(zipped).alias("k", "at")).select(*keys, "k", "at.*")
-    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hits.select(*keys, "hit", (F.sum(F.length("gap") + F.length("hit")).over(before) - F.length("hit")).alias("start"))
+def _placed(gaps: Column, hits: Column) -> Column:
+    """Array of struct(start, hit) of a pattern's hits, from what lies between them."""
+    zipped = F.transform(hits, lambda x, i: F.named_struct(F.lit("gap"), F.length(F.get(gaps, i)), F.lit("hit"), x))
+    none = F.array().cast("array<struct<start:int,hit:string>>")
 
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.named_struct(F.lit("at"), start + F.length(x["hit"]), F.lit("out"), F.concat(acc["out"], F.array(F.named_struct(F.lit("start"), start, F.lit("hit"), x["hit"]))))
 
-def facts(sentences: DataFrame, *keys: str) -> DataFrame:
-    """(keys, segment, start, value, unit) of every number with a unit."""
-    own = [*keys, "segment"]
-    hits = _placed(sentences, own, F.split("body", _NUMBER, -1), F.regexp_extract_all("body", F.lit(_NUMBER), 0))
-    fact = tx.numeric_facts(F.col("hit"))[0]
-    return hits.select(*own, "start", fact["value"].alias("value"), fact["unit"].alias("unit"))
+    return F.aggregate(zipped, F.named_struct(F.lit("at"), F.lit(0), F.lit("out"), none), step, lambda acc: acc["out"])
 
 
-def mentions(sentences: DataFrame, *keys: str) -> DataFrame:
-    """(keys, segment, start, stop, metric) of every place where a metric's name stands; names may overlap."""
-    own = [*keys, "segment"]
+def numbers(body: Column) -> Column:
+    """Array of struct(start, hit) of every number with a unit in a sentence."""
+    return _placed(F.split(body, _NUMBER, -1), F.regexp_extract_all(body, F.lit(_NUMBER), 0))
+
+
+def mentions(low: Column) -> Column:
+    """Array of struct(start, stop, metric) of every place in a sentence, in lower case, where a metric's name stands; names may overlap."""
     names = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).alias("alias")) for m, a in _ALIASES])
-    low = sentences.select(*own, F.lower("body").alias("low"))
-    held = low.select(*own, "low", F.explode(F.filter(names, lambda n: F.contains("low", n["alias"]))).alias("n")).select(*own, "low", "n.*")
-    gaps = F.split("low", F.concat(F.lit(r"\Q"), "alias", F.lit(r"\E")), F.lit(-1))
-    hits = _placed(held, [*own, "metric", "alias"], gaps, F.array_repeat("alias", F.size(gaps) - 1))
-    return hits.select(*own, "start", (F.col("start") + F.length("hit")).alias("stop"), "metric")
+
+    def places(n: Column) -> Column:
+        gaps = F.split(low, F.concat(F.lit(r"\Q"), n["alias"], F.lit(r"\E")), F.lit(-1))
+        found = _placed(gaps, F.array_repeat(n["alias"], F.size(gaps) - 1))
+        return F.transform(found, lambda x: F.named_struct(F.lit("start"), x["start"], F.lit("stop"), x["start"] + F.length(x["hit"]), F.lit("metric"), n["metric"]))
+
+    return F.flatten(F.transform(F.filter(names, lambda n: F.contains(low, n["alias"])), places))
 
 
 def claims(texts: DataFrame, entities: DataFrame, *keys: str, of: str = "evidence_id", text: str = "text") -> DataFrame:
     """(keys, of, segment, start, value, unit, metric, entities) of every claim; ``entities`` are the known ones of ``of`` that its sentence names, null metric if none is near."""
     own = list(dict.fromkeys([*keys, of]))
-    sentences = segments(texts, *own, text=text)
-    numbers = facts(sentences, *own)
-    spot = F.struct("start", "metric")
-    named = mentions(sentences, *own).select(*own, "segment", F.col("stop").alias("p"), spot.alias("mention"))
-    both = numbers.select(*own, "segment", F.col("start").alias("p"), F.struct("start", "value", "unit").alias("fact")).unionByName(named, allowMissingColumns=True)
+    known = entities.groupBy(of).agg(F.sort_array(F.collect_set("entity")).alias("_known"))
+    # both sides grow with the texts, so that no join may gather one of them in the driver
+    sentences = segments(texts.select(*own, text).join(known.hint("merge"), of, "left"), *own, "_known", text=text).withColumn("_low", F.lower("body"))
+    here = F.filter(F.coalesce("_known", F.array().cast("array<string>")), lambda e: F.contains("_low", F.lower(e)))
+    each = sentences.select(*own, "segment", here.alias("entities"), mentions(F.col("_low")).alias("_names"), F.explode_outer(numbers(F.col("body"))).alias("_n")).where("_n IS NOT NULL")
     # a mention may end where the number begins, and one that begins too early has no later one beside it
-    near = Window.partitionBy(*own, "segment").orderBy("p").rangeBetween(-REACH, Window.currentRow)
-    metric = F.when(F.col("fact.unit").isin("场", "次"), F.lit(COUNTED)).otherwise(F.when(F.col("last.start") >= F.col("p") - REACH, F.col("last.metric")))
-    found = both.withColumn("last", F.max("mention").over(near)).where("fact IS NOT NULL").select(*own, "segment", "fact.*", metric.alias("metric"))
-    here = sentences.join(entities, of).where(F.contains(F.lower("body"), F.lower("entity"))).groupBy(*own, "segment").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
-    return found.join(here, [*own, "segment"], "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    start = F.col("_n.start")
+    near = F.filter("_names", lambda n: (n["stop"] <= start) & (n["stop"] >= start - REACH))
+    last = F.array_max(F.transform(near, lambda n: F.named_struct(F.lit("start"), n["start"], F.lit("metric"), n["metric"])))
+    each = each.select(*own, "segment", start.alias("start"), F.get(tx.numeric_facts(F.col("_n.hit")), F.lit(0)).alias("_fact"), last.alias("_last"), "entities")
+    metric = F.when(F.col("_fact.unit").isin("场", "次"), F.lit(COUNTED)).otherwise(F.when(F.col("_last.start") >= F.col("start") - REACH, F.col("_last.metric")))
+    return each.select(*own, "segment", "start", "_fact.*", metric.alias("metric"), "entities")
 
 
 def unsupported(answers: DataFrame, evidence: DataFrame, key: str = "answer_id", of: str = "evidence_id") -> DataFrame:
@@ -88,10 +92,10 @@ def unsupported(answers: DataFrame, evidence: DataFrame, key: str = "answer_id",
     have = claims(evidence, named, of, of=of).select(of, "value", "unit", F.col("metric").alias("_metric"), F.col("entities").alias("_entities")).distinct()
     same = [F.col(f"m.{c}") == F.col(f"h.{c}") for c in (of, "value", "unit")]
     fits = (F.col("metric").isNull() | (F.col("metric") == F.col("_metric"))) & ((F.size("entities") == 0) | F.arrays_overlap("entities", "_entities"))
-    lacking = made.alias("m").join(have.alias("h"), same[0] & same[1] & same[2] & fits, "left_anti")
+    lacking = made.alias("m").join(have.alias("h").hint("merge"), same[0] & same[1] & same[2] & fits, "left_anti")
     line = F.concat_ws("|", F.when(F.size("entities") > 0, F.array_join("entities", ",")).otherwise("*"), F.coalesce("metric", F.lit("*")), F.concat("value", "unit"))
     lines = lacking.groupBy(key).agg(F.sort_array(F.collect_set(line)).alias("unsupported"))
-    return answers.select(key).distinct().join(lines, key, "left").select(key, F.col("unsupported").isNull().alias("passed"), F.coalesce("unsupported", F.array().cast("array<string>")).alias("unsupported"))
+    return answers.select(key).distinct().join(lines.hint("merge"), key, "left").select(key, F.col("unsupported").isNull().alias("passed"), F.coalesce("unsupported", F.array().cast("array<string>")).alias("unsupported"))
 
 
 def sentences(texts: DataFrame, *keys: str, text: str = "text", stop: tuple[str, ...] = tx.REFERENCE_MARKERS) -> DataFrame:
@@ -106,7 +110,7 @@ def judged(each: DataFrame, evidence: DataFrame, key: str = "answer_id", of: str
     """(key, sentence, body, supported) of sentences (key, of, sentence, body): whether all their claims have support."""
     number = each.select(F.struct(key, "sentence").alias("_id"), of, F.col("body").alias("text"))
     found = unsupported(number, evidence, "_id", of).select(F.col(f"_id.{key}").alias(key), F.col("_id.sentence").alias("sentence"), F.col("passed").alias("supported"))
-    return each.select(key, "sentence", "body").join(found, [key, "sentence"]).select(key, "sentence", "body", "supported")
+    return each.select(key, "sentence", "body").join(found.hint("merge"), [key, "sentence"]).select(key, "sentence", "body", "supported")
 
 
 def grounded(answers: DataFrame, evidence: DataFrame, key: str = "answer_id", of: str = "evidence_id", stop: tuple[str, ...] = tx.REFERENCE_MARKERS) -> DataFrame:

@@ -28,13 +28,14 @@ def dedupe_baseline(spark, sf_dir):
     return keys.agg(F.sum("n").cast("long").alias("before"), F.count("*").alias("after"), (F.sum("n") - F.count("*")).cast("long").alias("duplicates"))
 
 
-@register("r108_moving_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events")
+@register("r108_moving_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS recent, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS last_minute FROM events")
 def moving_rate(spark, sf_dir):
-    """Requests of a client in the minute up to each one."""
+    """Requests of a client in the twelve hours and in the minute up to each one."""
     (events,) = tables(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-60 * 1_000_000, 0)
-    return events.withColumn("_at", at).select("event_id", F.count("*").over(own).alias("recent"))
+    own = Window.partitionBy("user_id").orderBy("_at")
+    within = {name: F.count("*").over(own.rangeBetween(-seconds * 1_000_000, 0)).alias(name) for name, seconds in (("recent", 12 * 3600), ("last_minute", 60))}
+    return events.withColumn("_at", at).select("event_id", *within.values())
 
 
 @register(

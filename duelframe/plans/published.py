@@ -29,7 +29,10 @@ digests AS (SELECT round, dataset_scope, sum(n)::BIGINT AS matches, sha256(strin
 
 def _store(spark, sf_dir: str) -> tuple[str, DataFrame]:
     """A store published twice, first from observers of rank 500 or better, then from all, and the second refresh's scopes."""
-    rows, seen, raw = ob.load(spark, sf_dir)
+    # written, as each generation asks for matches, observations, batches and the time, and all come from the same joins
+    rows = store.settled(src.valid(src.matches(spark, sf_dir)))
+    seen = store.settled(ob.observations(rows, *src.tables(spark, sf_dir, "customer")))
+    raw = store.settled(ob.batches(seen))
     batches, now = sc.gate(raw), ob.now_of(raw)
     root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     line = F.concat_ws("|", *LINE)

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, least: f
         open_sets = checkpoint(full_sets(open_.select("node"), nodes, docs, width))
         more = checkpoint(verified(checkpoint(rare_pairs(open_sets, open_, percent)), open_sets, percent))
         if more.limit(1).count():
-            final = components(links.unionByName(more))
+            # what is linked already stands as one edge of each node
+            final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     smallest = final.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = nodes.select("d1", "d2", "node", "rep").join(final, "node", "left").join(smallest, "component", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("of_class"))
